@@ -27,6 +27,12 @@ def op4_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.passages import repeats
+
+    return repeats(spark, table(spark, sf_dir, "documents")).drop("ver")
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.near_dedup import near_duplicates
 
