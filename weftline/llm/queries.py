@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.quality import judged
+
+    return judged(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.token_files import token_files
 
