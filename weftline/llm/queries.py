@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbour_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.html_text import extracted
+
+    return extracted(spark, table(spark, sf_dir, "pages"))
+
+
 def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.quality import judged
 
