@@ -51,6 +51,18 @@ def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op7_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.url_rules import filtered
+
+    return filtered(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op8_template_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.license_scan import scan
+
+    return scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.near_dedup import near_duplicates
 
