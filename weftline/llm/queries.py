@@ -63,6 +63,12 @@ def op8_template_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.class_lm import scored
+
+    return scored(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.near_dedup import near_duplicates
 
