@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,6 +152,15 @@ def window_hashes(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     return mix(out[at]), at
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on, and the next operator's heap may need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def pieces(batches, most: int = 4 << 20):
     """Re-cuts record batches so that each holds at most about ``most`` bytes; a single longer row stays whole."""
     for batch in batches:
@@ -161,3 +171,10 @@ def pieces(batches, most: int = 4 << 20):
         step = max(1, rows * most // size)
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+    give_back()
+
+
+def with_columns(df, run, more: str):
+    """df.mapInArrow(run) where ``run`` keeps all columns of ``df`` and adds those of the schema ``more``."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{fields}, {more}" if more else fields)
