@@ -167,7 +167,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, *, end_id:
     A range partition is one file. The file gets its name only when it is whole, and a repeated
     task writes the same bytes again, so lost executors leave nothing half done.
     """
-    n = max(1, -(-size_estimate(docs) // file_bytes), docs.sparkSession.sparkContext.defaultParallelism)
+    size = size_estimate(docs)
+    files = -(-size // file_bytes) if size < 1 << 60 else docs.rdd.getNumPartitions()  # of frames that are not files Spark knows no size
+    n = max(1, files, docs.sparkSession.sparkContext.defaultParallelism)
     dealt = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,28 +1,37 @@
-"""Token ids of whole texts by the tokenizers library, with caches of words.
-
-The vocabulary's pre-tokenizer never lets a token span white space, so the ids of a text are the ids
-of its white-space separated words in order. Each worker keeps the ids of words it has met; a new
-word made of Latin letters and a run of trailing marks is put together from its lower-cased letters
-and its marks, which are cut apart by the same rule. Anything else goes to the library as it is.
+"""Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once a worker.
+
+The vocabulary's pre-tokenizer lets no token span white space, and cuts a word into runs of letters,
+single digits and runs of other marks. A batch of texts is cut by the same rule in NumPy where that is
+sure to agree: white-space separated words of ASCII and Latin-1 letters, which have one form under NFC
+and one lower case, digits, and ASCII marks but for the apostrophe (contractions) and `<` (special
+tokens). Any other word goes to the library whole, as it is. Distinct pieces are found by 64-bit
+hashes, looked up in the worker's store, and encoded by the library where they are new.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-from weftline.llm.columns import pieces, text_buffer
+from weftline.llm.columns import hash_spans, pieces, text_buffer
 
 #: The vocabulary's file name for ``public_tokenizers.path``, and the id that ends each document.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-#: Entries of each cache; beyond, it starts anew.
-CACHE_ENTRIES = 500_000
-#: Words of these letters have one form under NFC and are one pre-token; so is a run of these marks.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|()\\-]*)".encode().decode())
+#: Pieces that a worker remembers; beyond, its store starts anew.
+STORE_ENTRIES = 300_000
+
+_WHITE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[[32, *range(9, 14)]] = _WHITE
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[*range(33, 39), *range(40, 48), 58, 59, *range(61, 65), *range(91, 97), *range(123, 127)]] = _MARK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,75 +40,119 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's bytes: the bytes lower-cased where that is sure, start and end of each piece, and which pieces are odd."""
+    n = len(data)
+    kind, low = _KIND[data], _LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+    second = data[lead + 1]
+    good = (second != 0x97) & (second != 0xB7)
+    kind[lead[~good]] = _ODD
+    kind[lead[good] + 1] = _LETTER
+    capital = lead[good & (second < 0x9F)] + 1
+    low[capital] += 32
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    if len(odd := np.flatnonzero(kind == _ODD)):
+        white = kind == _WHITE
+        begins = np.flatnonzero(~white & (edge[:n] | np.concatenate([[True], white[:-1]])))
+        after = np.flatnonzero(~white & (edge[1:] | np.concatenate([white[1:], [True]]))) + 1
+        word = np.unique(np.searchsorted(begins, odd, "right") - 1)
+        size = after[word] - begins[word]
+        at = np.repeat(begins[word] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        kind[at] = _ODD
+        low[at] = data[at]
+    change = edge
+    change[1:n] |= kind[1:] != kind[:-1]
+    change[:n] |= kind == _DIGIT
+    bounds = np.flatnonzero(change)
+    if n and bounds[0]:
+        bounds = np.concatenate([[0], bounds])
+    start, end = bounds[:-1], bounds[1:]
+    if not n:
+        start = end = np.zeros(0, np.int64)
+    keep = kind[start] != _WHITE if n else np.zeros(0, bool)
+    start, end = start[keep], end[keep]
+    return low, start, end, kind[start] == _ODD
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, ``end_id`` last."""
+    """Ids of texts, ``end_id`` last."""
 
-    def __init__(self, path: str, end_id: int | None = END_ID, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, end_id: int | None = END_ID, entries: int = STORE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.entries = entries
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        suffix = "</w>"
-        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        """Of texts that are one pre-token each: together, then cut after each id that closes a word."""
-        out: list[bytes] = []
+        self.end_id, self.entries = end_id, entries
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))])
+        self._reset()
+
+    def _reset(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.at = np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for one in found for i in one], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts that are one pre-token each: many in one call, cut after each id that closes a word."""
+        ids, sizes = [], []
         for at in range(0, len(texts), 2000):
             some = texts[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.closes[ids]) + 1
-            if len(cuts) != len(some) or cuts[-1] != len(ids):
-                out += self._library(some)
-                continue
-            packed, low = ids.tobytes(), 0
-            for high in (cuts * 4).tolist():
-                out.append(packed[low:high])
-                low = high
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > self.entries:
-            self.words.clear()
-        if len(self.parts) > self.entries:
-            self.parts = {"": b""}
-        odd, plain, parts = [], [], {}
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            if match := _PLAIN.fullmatch(text):
-                letters, marks = match[1].lower(), match[2]
-                plain.append((word, letters, marks))
-                for part in (letters, marks):
-                    if part not in self.parts:
-                        parts[part] = None
-            else:
-                odd.append((word, text))
-        self.parts.update(zip(parts, self._plain(list(parts)), strict=True))
-        for word, letters, marks in plain:
-            self.words[word] = self.parts[letters] + self.parts[marks]
-        self.words.update(zip((w for w, _ in odd), self._library([t for _, t in odd]), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """UTF-8 texts to packed ids."""
-        cut = [t.split() for t in texts]
-        new: set[bytes] = set()
-        for one in cut:
-            new.update(one)
-        known = self.words
-        if new := {w for w in new if w not in known}:
-            self._learn(new)
-            if any(w not in self.words for one in cut for w in one):  # the cache has started anew
-                self._learn({w for one in cut for w in one} - self.words.keys())
-        get = self.words.__getitem__
-        return [b"".join(map(get, one)) + self.end for one in cut]
+            one = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[one]) + 1
+            n = np.diff(ends, prepend=0)
+            if len(ends) != len(some) or ends[-1] != len(one):
+                one, n = self._library(some)
+            ids.append(one)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _add(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        base = len(self.slot)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while base + len(hashes) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[base + 1 : base + 1 + len(hashes)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.slot.update(zip(hashes, range(base, base + len(hashes)), strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a batch's bytes: all ids, and n + 1 bounds of texts."""
+        low, start, end, odd = cut(data, offsets)
+        hashes = hash_spans(low, start, end)
+        hashes[odd] ^= np.uint64(0x5851F42D4C957F2D)
+        codes, distinct = pd.factorize(hashes)
+        where = np.zeros(len(distinct), np.int64)
+        where[codes[::-1]] = np.arange(len(codes))[::-1]
+        keys = distinct.tolist()
+        if len(self.slot) + len(keys) > self.entries:
+            self._reset()
+        new = [i for i, k in enumerate(keys) if k not in self.slot]
+        if new:
+            new = np.array(new)
+            for some, encode in ((new[~odd[where[new]]], self._plain), (new[odd[where[new]]], self._library)):
+                if len(some):
+                    text = low.tobytes()
+                    texts = [text[i:j].decode("utf-8", "replace") for i, j in zip(start[where[some]].tolist(), end[where[some]].tolist(), strict=True)]
+                    self._add([keys[i] for i in some.tolist()], *encode(texts))
+        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[codes]
+        size = self.at[slots + 1] - self.at[slots]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.at[slots] - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = ends[np.searchsorted(start, offsets)]
+        if self.end_id is None:
+            return ids, bounds
+        out = np.full(len(ids) + len(offsets) - 1, self.end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))] = ids
+        return out, bounds + np.arange(len(offsets))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -115,8 +168,7 @@ def encoder(path: str, end_id: int | None = END_ID) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = END_ID, key: str = "doc_id", text: str = "text") -> Iterator[tuple[list, list[np.ndarray]]]:
     """Of record batches: keys and id arrays, some megabytes at a time."""
     enc = encoder(path, end_id)
-    for batch in pieces(batches, 2 << 20):
-        data, offsets = text_buffer(batch.column(text))
-        view, cuts = data.tobytes(), offsets.tolist()
-        ids = enc.encode([view[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-        yield batch.column(key).to_pylist(), [np.frombuffer(x, "<u4") for x in ids]
+    for batch in pieces(batches):
+        ids, bounds = enc.encode(*text_buffer(batch.column(text)))
+        cuts = bounds.tolist()
+        yield batch.column(key).to_pylist(), [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
