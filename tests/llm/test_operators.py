@@ -212,6 +212,26 @@ def test_passages(spark, docs, none):
     assert passages.repeats(spark, none).count() == 0 and passages.without_repeats(spark, none).columns == none.columns
 
 
+def test_passages_around_own_words(spark):
+    """Two passages that are repeats by themselves, whatever lies between; checked to the word."""
+    fresh = random.Random(11)
+    own = lambda n: " ".join(f"w{fresh.randrange(10**9)}" for _ in range(n))
+    head, foot, long = own(60), own(60), [own(100) for _ in range(2)]
+    docs = [(0, f"{head} {own(300)} {foot}")]
+    docs += [(1 + k, f"{head} {own(n)} {foot}") for k, n in enumerate((40, 70, 100))]
+    docs += [(10, f"{long[0]} {long[1]}")] + [(11 + k, f"{own(9)} {long[0]} {own(n)} {long[1]} {own(7)}") for k, n in enumerate((60, 130, 200))]
+    got = collections.defaultdict(set)
+    for r in passages.repeats(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+        assert r["n_words"] >= 50 and r["identity"] >= 0.8 and r["source_doc_id"] == (0 if r["doc_id"] < 10 else 10)
+    words_of = {d: t.split() for d, t in docs}
+    for first, n in ((1, 40), (2, 70), (3, 100)):
+        assert got[first] == set(range(60)) | set(range(60 + n, 120 + n)), first
+    for first, n in ((11, 60), (12, 130), (13, 200)):
+        assert got[first] == set(range(9, 109)) | set(range(109 + n, 209 + n)), first
+    assert set(got) == {1, 2, 3, 11, 12, 13} and len(words_of[13]) == 416
+
+
 # ---- 6
 
 
