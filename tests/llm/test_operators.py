@@ -290,6 +290,22 @@ def test_rules_are_mined_from_labels(spark):
     assert all((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got)
 
 
+def test_a_host_of_few_labelled_pages_is_mined_among_many(spark):
+    from pyspark.sql import functions as F
+
+    bad = F.col("id") % 240 == 7
+    pages = spark.range(24000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.when(bad, "evil-shop").otherwise(F.concat(F.lit("shop"), F.col("id") % 240)), F.lit(".org/en/"), "id").alias("url"))
+    labels = spark.range(24000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (bad | (F.floor(F.col("id") / 240) % 5 == 0)).cast("int").alias("toxic"))
+    got = url_rules.filtered(spark, pages, labels).groupBy("host", "verdict").count().filter("verdict = 'block'").collect()
+    assert [tuple(r) for r in got] == [("evil-shop.org", "block", 100)]
+
+
+def test_seeds_hold_no_host_of_the_tables(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    hosts = {r[0] for r in pages.select(url_rules.host_and_path()[0]).distinct().collect()}
+    assert not {label for host in hosts for label in host.split(".")} & {h for hs in url_rules.SEEDS.values() for h in hs}
+
+
 # ---- 8
 
 
