@@ -232,6 +232,20 @@ def test_passages_around_own_words(spark):
     assert set(got) == {1, 2, 3, 11, 12, 13} and len(words_of[13]) == 416
 
 
+def test_passages_of_lines_from_elsewhere(spark):
+    """A passage whose lines occur singly before, and one with a changed word near each end."""
+    fresh = random.Random(12)
+    own = lambda n: " ".join(f"w{fresh.randrange(10**9)}" for _ in range(n))
+    lines, near = [own(20) for _ in range(3)], own(54).split()
+    changed = [*near]
+    changed[5] = changed[48] = "changed"
+    docs = [(5 + k, f"{own(50)} {line} {own(50)}") for k, line in enumerate(lines)]
+    docs += [(d, f"{own(40)} {' '.join(lines)} {own(40)}") for d in (10, 20)]
+    docs += [(30, f"{own(40)} {' '.join(near)} {own(40)}"), (40, f"{own(40)} {' '.join(changed)} {own(40)}")]
+    got = {(r["doc_id"], r["source_doc_id"], r["start"], r["end"]) for r in passages.repeats(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(20, 10, 40, 100), (40, 30, 40, 94)}
+
+
 # ---- 6
 
 
