@@ -17,11 +17,15 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return head, int(differ[0]) if len(differ) else n
 
 
+#: Bits of the table that marks the places of each distinct word; larger ones are made column by column.
+TABLE_BITS = 1 << 27
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Insertions, deletions and replacements that make b of a; None if over ``most``.
 
-    Equal ends are cut off first. In between, only the ``2 * most + 1`` diagonals that can matter are
-    kept: one integer holds the vertical differences of a column within the band (Hyyrö 2003).
+    Equal ends are cut off first, and sequences with too few words in common turned away. What is left is
+    aligned in bands of growing width: like texts end in the first, and the last is as wide as ``most`` asks.
     """
     if abs(len(a) - len(b)) > most:
         return None
@@ -32,20 +36,58 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     m, n = len(a), len(b)
     if not n:
         return m if m <= most else None
-    most = min(most, m)
-    where: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        where[x] = where.get(x, 0) | 1 << i
+    _, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    words = int(codes.max()) + 1
+    if m - np.minimum(np.bincount(codes[:m], minlength=words), np.bincount(codes[m:], minlength=words)).sum() > most:
+        return None
+    most, band = min(most, m), max(m - n, 24)
+    while 3 * band < most:
+        found = _banded(codes[:m], codes[m:], words, band)
+        if found is not None:
+            return found
+        band *= 4
+    return _banded(codes[:m], codes[m:], words, most)
+
+
+def _places(a: np.ndarray, words: int, width: int):
+    """A function of a word and a row: as bits, where the word stands in the ``width`` rows from that one on."""
+    full = (1 << width) - 1
+    if words * len(a) <= TABLE_BITS:
+        table = [0] * words
+        for i, x in enumerate(a.tolist()):
+            table[x] |= 1 << i
+        return lambda x, row: (table[x] >> row if row >= 0 else table[x] << -row) & full
+    order = np.argsort(a, kind="stable")
+    first = np.searchsorted(a[order], np.arange(words + 1))
+
+    def find(x: int, row: int) -> int:
+        mine = order[first[x] : first[x + 1]]
+        mine = mine[np.searchsorted(mine, row) : np.searchsorted(mine, row + width)] - row
+        if len(mine) <= 8:
+            bits = 0
+            for k in mine.tolist():
+                bits |= 1 << k
+            return bits
+        marks = np.zeros(width, bool)
+        marks[mine] = True
+        return int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+
+    return find
+
+
+def _banded(a: np.ndarray, b: np.ndarray, words: int, most: int) -> int | None:
+    """Only the ``2 * most + 1`` diagonals that can matter are kept: one integer holds the vertical
+    differences of a column within the band (Hyyrö 2003)."""
+    m, n = len(a), len(b)
     # Rows i - most .. i + most of column i; bit k stands for row i - most + k, counted from 1.
     width = 2 * most + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
+    place = _places(a, words, width)
     vp, vn = full & ~((1 << (most + 1)) - 1), 0
     # Column 0: rows 1..most lie most + 1 .. 2 * most bits up; their vertical difference is +1.
     distance = most  # of the band's last row, row i + most
     for i, x in enumerate(b.tolist(), 1):
-        eq = where.get(x, 0)
-        shift = i - most - 1
-        eq = (eq >> shift if shift >= 0 else eq << -shift) & full
+        eq = place(x, i - most - 1)
         vp, vn = vp >> 1, vn >> 1
         # The row that enters the band below is at most one more than the one above it.
         vp |= top

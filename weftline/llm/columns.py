@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 1 << 16
@@ -115,11 +116,29 @@ def words(column, table: np.ndarray, hashed: bool = True) -> Words:
     return Words(mapped, offsets, start, end, first, hash_spans(mapped, start, end) if hashed else np.zeros(0, np.uint64))
 
 
+#: Longer spans are hashed one by one: a polynomial modulo 2**64 has structured collisions from some
+#: hundred letters on (Thue-Morse words), whatever its base.
+LONG_SPAN = 64
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of ordered, disjoint byte spans; equal bytes give equal hashes in any batch.
 
-    Works through about a megabyte at a time, so that the wide intermediate columns stay in cache.
+    Short spans go through a polynomial, about a megabyte at a time, so that the wide intermediate columns
+    stay in cache; the few long ones (no word of prose, but base64, URLs, unspaced scripts) through xxh3.
     """
+    out = np.empty(len(start), np.uint64)
+    long = end - start > LONG_SPAN
+    if long.any():
+        at, view = np.flatnonzero(long), memoryview(np.ascontiguousarray(data))
+        out[at] = [xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        short = np.flatnonzero(~long)
+        out[short] = _short_hashes(data, start[short], end[short])
+        return out
+    return _short_hashes(data, start, end)
+
+
+def _short_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), np.uint64)
     edges = np.searchsorted(start, np.arange(0, len(data) + _BLOCK, _BLOCK)) if len(start) else np.zeros(1, np.int64)
     with np.errstate(over="ignore"):
@@ -136,6 +155,23 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def spans_equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each span holds the same bytes as the span that ``like`` names for it."""
+    rows = np.flatnonzero(like != np.arange(len(like)))
+    size = end - start
+    if (size[rows] != size[like[rows]]).any():
+        return False
+    done = np.concatenate([[0], np.cumsum(size[rows])])
+    edges = np.unique(np.append(np.searchsorted(done, np.arange(0, done[-1], _BLOCK)), len(rows)))
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        some = rows[i:j]
+        n = size[some]
+        step = np.arange(done[j] - done[i]) - np.repeat(done[i:j] - done[i], n)
+        if (data[np.repeat(start[some], n) + step] != data[np.repeat(start[like[some]], n) + step]).any():
+            return False
+    return True
+
+
 def window_hashes(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words that lie within one row, and the index of their first word."""
     n = len(h)

@@ -5,7 +5,8 @@ single digits and runs of other marks. A batch of texts is cut by the same rule
 sure to agree: white-space separated words of ASCII and Latin-1 letters, which have one form under NFC
 and one lower case, digits, and ASCII marks but for the apostrophe (contractions) and `<` (special
 tokens). Any other word goes to the library whole, as it is. Distinct pieces are found by 64-bit
-hashes, looked up in the worker's store, and encoded by the library where they are new.
+hashes and compared byte by byte, looked up by their bytes in the worker's store, and encoded by the
+library where they are new.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from weftline.llm.columns import hash_spans, pieces, text_buffer
+from weftline.llm.columns import hash_spans, pieces, spans_equal, text_buffer
 
 #: The vocabulary's file name for ``public_tokenizers.path``, and the id that ends each document.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -89,7 +90,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
         self.used = 0
@@ -113,26 +114,36 @@ class Encoder:
             sizes.append(n)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _add(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, found: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         base = len(self.slot)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while base + len(hashes) + 1 > len(self.at):
+        while base + len(found) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.at[base + 1 : base + 1 + len(hashes)] = self.used + np.cumsum(sizes)
+        self.at[base + 1 : base + 1 + len(found)] = self.used + np.cumsum(sizes)
         self.used += len(ids)
-        self.slot.update(zip(hashes, range(base, base + len(hashes)), strict=True))
+        self.slot.update(zip(found, range(base, base + len(found)), strict=True))
+
+    @staticmethod
+    def _distinct(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Which distinct piece each piece is, the first place of each distinct one, and their bytes."""
+        text = low.tobytes()
+        codes, distinct = pd.factorize(hash_spans(low, start, end))
+        where = np.zeros(len(distinct), np.int64)
+        where[codes[::-1]] = np.arange(len(codes))[::-1]
+        if not spans_equal(low, start, end, where[codes]):  # two pieces of one hash
+            every = np.empty(len(start), object)
+            every[:] = [text[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+            codes, keys = pd.factorize(every)
+            where = np.zeros(len(keys), np.int64)
+            where[codes[::-1]] = np.arange(len(codes))[::-1]
+        return codes, where, [text[i:j] for i, j in zip(start[where].tolist(), end[where].tolist(), strict=True)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of a batch's bytes: all ids, and n + 1 bounds of texts."""
         low, start, end, odd = cut(data, offsets)
-        hashes = hash_spans(low, start, end)
-        hashes[odd] ^= np.uint64(0x5851F42D4C957F2D)
-        codes, distinct = pd.factorize(hashes)
-        where = np.zeros(len(distinct), np.int64)
-        where[codes[::-1]] = np.arange(len(codes))[::-1]
-        keys = distinct.tolist()
+        codes, where, keys = self._distinct(low, start, end)
         if len(self.slot) + len(keys) > self.entries:
             self._reset()
         new = [i for i, k in enumerate(keys) if k not in self.slot]
@@ -140,9 +151,8 @@ class Encoder:
             new = np.array(new)
             for some, encode in ((new[~odd[where[new]]], self._plain), (new[odd[where[new]]], self._library)):
                 if len(some):
-                    text = low.tobytes()
-                    texts = [text[i:j].decode("utf-8", "replace") for i, j in zip(start[where[some]].tolist(), end[where[some]].tolist(), strict=True)]
-                    self._add([keys[i] for i in some.tolist()], *encode(texts))
+                    found = [keys[i] for i in some.tolist()]
+                    self._add(found, *encode([k.decode("utf-8", "replace") for k in found]))
         slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[codes]
         size = self.at[slots + 1] - self.at[slots]
         ends = np.concatenate([[0], np.cumsum(size)])
