@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import SPACE, hash_spans, mix, pieces, window_hashes, words
+from weftline.llm.columns import SPACE, hash_spans, mix, pieces, text_buffer, window_hashes, with_columns, words
 from weftline.llm.scratch import Scratch
 
 FIT_ROWS, TREES, TREE_ROWS, DEPTH, BINS, GOOD_WEIGHT = 4096, 128, 256, 12, 2000, 20
@@ -48,8 +48,6 @@ def rule_statistics(column) -> tuple[np.ndarray, np.ndarray]:
         total = np.concatenate([[0], np.cumsum(mask)])
         return total[offsets[1:]] - total[offsets[:-1]]
 
-    from weftline.llm.columns import text_buffer
-
     raw, _ = text_buffer(column)
     inside = data != 0
     chars = per_row(inside & ((data & 0xC0) != 0x80))
@@ -170,33 +168,61 @@ def calibrated(counted: list, bins: int = BINS) -> float:
     return float(best[len(best) // 2]) / bins  # in the middle of a gap, should there be one
 
 
-def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, score (null without a forest), kept."""
-    scratch = Scratch(spark, "quality")
-    counted = scratch.save(statistics(docs), "statistics")
+def fitted(spark: SparkSession, counted: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Forest, float] | None:
+    """The forest and its threshold, from ``statistics`` and labels; None without a labelled good row."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality IS NOT NULL")
-    labelled = scratch.save(counted.withColumn("base_failed", base_failed()).filter("NOT base_failed").join(known, "doc_id").select("doc_id", "quality", "shares"), "labelled")
+    labelled = scratch.save(counted.filter(~base_failed()).join(known, "doc_id").select("doc_id", "quality", "shares"), "labelled")
     fit = labelled.filter("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()
-    verdict = counted.withColumn("base_failed", base_failed())
     if not fit:
-        return verdict.select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("score"), (~F.col("base_failed")).alias("kept"))
+        return None
     ends = labelled.select([f(F.col("shares")[k]).alias(f"{f.__name__}{k}") for k in range(len(SHARES)) for f in (F.min, F.max)]).first()
     forest = Forest(np.array([r["shares"] for r in fit]), np.array(ends[::2]), np.array(ends[1::2]))
+    bins = labelled.select(F.floor(scorer(spark, forest)("shares") * BINS).cast("int").alias("bin"), "quality").groupBy("bin", "quality").agg(F.count("*").alias("n"))
+    return forest, calibrated(bins.collect())  # at most 2 * BINS rows
+
+
+def scorer(spark: SparkSession, forest: Forest):
+    """The forest's score as a function of the column of shares."""
     shared = spark.sparkContext.broadcast(forest)  # trees * 2 ** (depth + 1) nodes
 
     @F.pandas_udf("double")
     def score(shares: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(np.stack(shares.to_numpy())) if len(shares) else [], dtype=float)
 
-    bins = labelled.select(F.floor(score("shares") * BINS).cast("int").alias("bin"), "quality").groupBy("bin", "quality").agg(F.count("*").alias("n"))
-    threshold = calibrated(bins.collect())  # at most 2 * BINS rows
-    scored = verdict.withColumn("score", score("shares"))
+    return score
+
+
+def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed, score (null without a forest), kept."""
+    scratch = Scratch(spark, "quality")
+    counted = scratch.save(statistics(docs), "statistics")
+    model = fitted(spark, counted, labels, scratch)
+    verdict = counted.withColumn("base_failed", base_failed())
+    if model is None:
+        return verdict.select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("score"), (~F.col("base_failed")).alias("kept"))
+    forest, threshold = model
+    scored = verdict.withColumn("score", scorer(spark, forest)("shares"))
     return scored.select("doc_id", *COUNTS, "base_failed", "score", (~F.col("base_failed") & (F.col("score") < threshold)).alias("kept"))
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the verdict rejects; all columns as they were."""
-    verdicts = judged(spark, docs, labels)
-    counts = verdicts.groupBy("doc_id").agg(F.min("kept").alias("every"), F.max("kept").alias("some"))
-    same = docs.join(counts.filter("every").select(F.col("doc_id").alias("__doc")), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
-    return same
+    """``docs`` without the rows that the verdict rejects; all columns as they were.
+
+    Each row is judged where it is, by its own text, so no join brings the verdicts back.
+    """
+    scratch = Scratch(spark, "quality")
+    model = fitted(spark, scratch.save(statistics(docs), "statistics"), labels, scratch)
+    scratch.drop("statistics")
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            counts, shares = rule_statistics(batch.column("text"))
+            keep = (counts[:, 0] >= LEAST_WORDS) & (100 * counts[:, 4] <= MOST_REPEATED * counts[:, 0])
+            if shared.value is not None:
+                forest, threshold = shared.value
+                some = np.flatnonzero(keep)
+                keep[some] = forest.scores(shares[some]) < threshold
+            yield batch.filter(pa.array(keep))
+
+    return with_columns(docs, run, "")
