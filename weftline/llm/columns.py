@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 1 << 16
@@ -188,6 +189,26 @@ def window_hashes(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     return mix(out[at]), at
 
 
+#: Bits of ``bit_table``: 8 MB however many keys there are.
+TABLE_BITS = 26
+
+
+def bit_table(keys, column: str) -> np.ndarray:
+    """A table of 2 ** TABLE_BITS bits, set where the upper bits of a 64-bit key of the frame fall."""
+    place = F.shiftrightunsigned(column, 64 - TABLE_BITS) + 1
+    parts = keys.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
+    for row in parts.collect():  # at most 2 ** (TABLE_BITS - 15) rows of 4 kB
+        out[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def in_bits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which unsigned 64-bit keys the table may hold."""
+    at = (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers live on, and the next operator's heap may need it."""
     pa.default_memory_pool().release_unused()

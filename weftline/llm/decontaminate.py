@@ -7,14 +7,16 @@ occurs in all documents. With containment ``t`` of n shingles, a match must hold
 n - ceil(t n) + 1 rarest shingles, its prefix; for exact containment that is the rarest alone. The
 prefixes are joined with the shingles of documents. A hit fixes where the window would have to start;
 it must lie within the text (the length and positional bounds), and there the document's words are
-compared with the window's, all of them for t = 1.
+compared with the window's, byte by byte: t of its shingles must stand in their places.
 
-A batch of texts is hashed as a whole, and its shingles looked up in the sorted prefixes. Prefixes are
-one row a benchmark window: up to ``BROADCAST_WINDOWS`` they are sent to all workers; a larger
-benchmark is joined with the shingles of documents by a shuffle.
+A batch of texts is hashed as a whole. Windows of ``BROADCAST_BYTES`` or less are sent to all workers,
+and shingles are looked up in the sorted prefixes. Those of a larger benchmark stay a table: a bit table
+of fixed size turns most shingles of documents away, the rest, each with the words around it, meet the
+prefixes in a join, and verdicts come back by the digest of the text. Both ways give the same rows.
 
 Null texts have no words. Items without words have no windows. Items that repeat a text, or an
 item_id, each count; equal item_ids count once in n_items. Rows that repeat a doc_id are rows of their own.
+Columns of the documents that are named like a result are replaced by it; ``clean_documents`` keeps them.
 """
 
 from __future__ import annotations
@@ -28,42 +30,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import ALNUM_LOWER, Words, mix, pieces, window_hashes, words
+from weftline.llm.columns import ALNUM_LOWER, Words, bit_table, in_bits, mix, pieces, window_hashes, with_columns, words
 from weftline.llm.scratch import Scratch
 
 WIDTH, SHINGLE = 10, 3
-#: Windows that are sent to each worker, at about 60 bytes each and in whole below 100 MB.
-BROADCAST_WINDOWS = 1_000_000
+#: Words, shingles and item_ids of windows that are sent to each worker.
+BROADCAST_BYTES = 48 << 20
+#: Windows that leave a worker at once.
+FLUSH_WINDOWS = 20_000
 
 
-def shingles_of(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hash, first word) of all runs of 1 .. SHINGLE words; the length is part of the hash."""
-    out = []
-    for k in range(1, SHINGLE + 1):
-        h, at = window_hashes(w.hash, w.first, k)
-        out.append((mix(h ^ np.uint64(k)), at))
-    return out
+def shingles_of(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of all runs of ``k`` words; the length is part of the hash."""
+    h, at = window_hashes(w.hash, w.first, k)
+    return mix(h ^ np.uint64(k)), at
+
+
+def _lists(table: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, table.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(table).view(np.int64).reshape(-1)))
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, the window's words as 64-bit hashes, its shingles' hashes in order, per distinct window of an item."""
+    """Distinct windows: their words between spaces, those words' and their shingles' 64-bit hashes in order, the item_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             w = words(batch.column(1), ALNUM_LOWER)
-            owner, seq, shingle = [], [], []
-            by_length = [dict(zip(at.tolist(), h.tolist(), strict=True)) for h, at in shingles_of(w)]
-            for i in range(batch.num_rows):
-                low, high = int(w.first[i]), int(w.first[i + 1])
-                n = min(width, high - low)
+            size = np.minimum(width, np.diff(w.first))
+            for n in np.unique(size[size > 0]).tolist():
+                row = np.flatnonzero(size == n)
+                each = w.first[row + 1] - w.first[row] - n + 1
+                owner = np.repeat(row, each)
+                start = np.repeat(w.first[row] - np.cumsum(each) + each, each) + np.arange(each.sum())
                 k = min(SHINGLE, n)
-                for at in range(low, high - n + 1) if n else ():
-                    owner.append(i)
-                    seq.append(w.hash[at : at + n].view(np.int64).tolist())
-                    shingle.append([np.uint64(by_length[k - 1][at + j]).view(np.int64).item() for j in range(n - k + 1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(seq, pa.list_(pa.int64())), pa.array(shingle, pa.list_(pa.int64()))], names=["item_id", "seq", "shingles"])
+                h, at = shingles_of(w, k)
+                dense = np.zeros(len(w.hash), np.uint64)
+                dense[at] = h
+                for low in range(0, len(start), FLUSH_WINDOWS):
+                    s = start[low : low + FLUSH_WINDOWS]
+                    text = [b" ".join(w.word(j) for j in range(i, i + n)) for i in s.tolist()]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[low : low + FLUSH_WINDOWS])), pa.array(text, pa.binary()), _lists(w.hash[s[:, None] + np.arange(n)]), _lists(dense[s[:, None] + np.arange(n - k + 1)])], names=["item_id", "text", "seq", "shingles"])
 
-    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, seq array<long>, shingles array<long>")
+    found = items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, text binary, seq array<long>, shingles array<long>")
+    return found.groupBy("text").agg(F.first("seq").alias("seq"), F.first("shingles").alias("shingles"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 @dataclass
@@ -95,14 +104,18 @@ def shingle_counts(docs: DataFrame, lookup, lengths: list[int]) -> DataFrame:
         for batch in pieces(batches):
             w = words(batch.column(0), ALNUM_LOWER)
             for k in lengths:
-                h, _ = window_hashes(w.hash, w.first, k)
-                total += np.bincount(known.find(mix(h ^ np.uint64(k)))[1], minlength=len(total))
+                total += np.bincount(known.find(shingles_of(w, k)[0])[1], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known.keys[some].view(np.int64)), pa.array(total[some])], names=["shingle", "n"])
 
     return docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
+def prefix_size(n, containment: float):
+    """How many of n shingles the prefix has."""
+    return n - np.ceil(containment * n - 1e-9).astype(np.int64) + 1
+
+
 @dataclass
 class Prefixes:
     """Distinct windows and, for each prefix shingle, the windows that have it and where."""
@@ -113,38 +126,46 @@ class Prefixes:
     offset: np.ndarray  # entry -> place of the shingle in the window
     seq: np.ndarray  # all words of all windows
     seq_at: np.ndarray  # window -> bounds in seq
+    texts: list[bytes]
     items: list[list[str]]  # window -> item_ids
     lengths: list[int]  # of shingles
 
 
-def prefixes(windows: list, counts: dict[int, int], containment: float = 1.0) -> Prefixes:
-    merged: dict[tuple, tuple[list, set]] = {}
-    for row in windows:
-        merged.setdefault(tuple(row["seq"]), (row["shingles"], set()))[1].add(row["item_id"])
-    entries, lengths = [], set()
-    for at, (seq, (shingles, _)) in enumerate(merged.items()):
-        lengths.add(len(seq) - len(shingles) + 1)
-        n = len(shingles)
-        need = n - int(np.ceil(containment * n - 1e-9)) + 1
-        for _, shingle, offset in sorted((counts.get(s, 0), s, j) for j, s in enumerate(shingles))[:need]:
-            entries.append((shingle, at, offset))
-    entries.sort()
-    keys = np.array([e[0] for e in entries], np.int64).view(np.uint64)
-    order = np.argsort(keys, kind="stable")
-    keys, table = keys[order], np.array(entries, np.int64).reshape(-1, 3)[order]
-    distinct, begin = np.unique(keys, return_index=True)
-    seqs = list(merged)
-    return Prefixes(Lookup(distinct), np.append(begin, len(keys)), table[:, 1], table[:, 2], np.array([x for s in seqs for x in s], np.int64).view(np.uint64), np.cumsum([0, *map(len, seqs)]), [sorted(v[1]) for v in merged.values()], sorted(lengths))
+def prefixes(windows: pa.Table, counted: pa.Table, containment: float = 1.0) -> Prefixes:
+    """From the windows, and how often their shingles occur (shingle, n)."""
+    seq, shingles = (windows.column(c).combine_chunks() for c in ("seq", "shingles"))
+    flat = shingles.flatten().to_numpy()
+    n = np.diff(shingles.offsets.to_numpy())
+    window = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    keys, counts = counted.column("shingle").to_numpy(), counted.column("n").to_numpy()
+    order = np.argsort(keys)
+    at = np.searchsorted(keys[order], flat)
+    at[at == len(keys)] = 0
+    rarity = np.where(keys[order][at] == flat, counts[order][at], 0) if len(keys) else np.zeros(len(flat), np.int64)
+    order = np.lexsort((offset, flat, rarity, window))  # of each window the rarest first
+    order = order[offset < prefix_size(n, containment)[window]]  # offset counts places within a window in either order
+    order = order[np.argsort(flat[order].view(np.uint64), kind="stable")]
+    distinct, begin = np.unique(flat[order].view(np.uint64), return_index=True)
+    lengths = np.diff(seq.offsets.to_numpy())
+    return Prefixes(Lookup(distinct), np.append(begin, len(order)), window[order], offset[order], seq.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lengths)]), windows.column("text").to_pylist(), windows.column("items").to_pylist(), sorted(set((lengths - n + 1).tolist())))
+
+
+def contains(got: list[bytes], want: list[bytes], containment: float) -> bool:
+    """Whether as much as asked of the window's shingles stand in their places."""
+    if containment >= 1 or len(want) < SHINGLE:
+        return got == want
+    same = [x == y for x, y in zip(got, want, strict=True)]
+    whole = [all(same[j : j + SHINGLE]) for j in range(len(want) - SHINGLE + 1)]
+    return len(got) == len(want) and sum(whole) >= containment * len(whole) - 1e-9
 
 
 def occurrences(w: Words, p: Prefixes, containment: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(first word, window) of all windows that occur in a batch."""
-    if containment < 1:
-        return _contained(w, p, containment)
     starts, found = [], []
     for k in p.lengths:
-        h, at = window_hashes(w.hash, w.first, k)
-        hit, key = p.lookup.find(mix(h ^ np.uint64(k)))
+        h, at = shingles_of(w, k)
+        hit, key = p.lookup.find(h)
         n = p.begin[key + 1] - p.begin[key]
         entry = np.repeat(p.begin[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
         place, window = np.repeat(at[hit], n), p.window[entry]
@@ -153,37 +174,24 @@ def occurrences(w: Words, p: Prefixes, containment: float = 1.0) -> tuple[np.nda
         row = np.searchsorted(w.first, place, "right") - 1
         fits = (start >= w.first[row]) & (start + size <= w.first[row + 1])
         start, window, size = start[fits], window[fits], size[fits]
-        same = np.ones(len(start), bool)
-        for j in range(int(size.max()) if len(size) else 0):
-            some = np.flatnonzero(same & (size > j))
-            same[some] = w.hash[start[some] + j] == p.seq[p.seq_at[window[some]] + j]
-        starts.append(start[same])
-        found.append(window[same])
+        if containment >= 1:
+            same = np.ones(len(start), bool)
+            for j in range(int(size.max()) if len(size) else 0):
+                some = np.flatnonzero(same & (size > j))
+                same[some] = w.hash[start[some] + j] == p.seq[p.seq_at[window[some]] + j]
+            start, window = start[same], window[same]
+        starts.append(start)
+        found.append(window)
     start, window = np.concatenate(starts or [[]]).astype(np.int64), np.concatenate(found or [[]]).astype(np.int64)
     both = np.unique(np.stack([start, window], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
-
-
-def _contained(w: Words, p: Prefixes, containment: float) -> tuple[np.ndarray, np.ndarray]:
-    """As above for a share of a window's words, by place, in a stretch as long as the window."""
-    out = set()
-    for k in p.lengths:
-        h, at = window_hashes(w.hash, w.first, k)
-        for hit, key in zip(*(x.tolist() for x in p.lookup.find(mix(h ^ np.uint64(k)))), strict=True):
-            for entry in range(p.begin[key], p.begin[key + 1]):
-                window = int(p.window[entry])
-                want = p.seq[p.seq_at[window] : p.seq_at[window + 1]]
-                start = int(at[hit]) - int(p.offset[entry])
-                row = int(np.searchsorted(w.first, at[hit], "right")) - 1
-                if start < w.first[row] or start + len(want) > w.first[row + 1]:
-                    continue
-                if (w.hash[start : start + len(want)] == want).mean() >= containment - 1e-9:
-                    out.add((start, window))
-    table = np.array(sorted(out), np.int64).reshape(-1, 2)
-    return table[:, 0], table[:, 1]
+    true = np.zeros(len(both), bool)
+    for i, (at, one) in enumerate(both.tolist()):
+        want = p.texts[one].split(b" ")
+        true[i] = contains([w.word(j) for j in range(at, at + len(want))], want, containment)
+    return both[true, 0], both[true, 1]
 
 
-SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
 
 
 def _verdicts(w: Words, start: np.ndarray, window: np.ndarray, p: Prefixes) -> list[pa.Array]:
@@ -200,64 +208,106 @@ def _verdicts(w: Words, start: np.ndarray, window: np.ndarray, p: Prefixes) -> l
     return [pa.array(np.diff(w.first)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]), pa.array(n_hit > 0)]
 
 
-def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, width: int = WIDTH, containment: float = 1.0) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
+def _judged(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int, containment: float) -> tuple[DataFrame, str]:
+    """``docs`` and the results, whose names begin with the prefix that is returned too."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
     scratch = Scratch(spark, "decontaminate")
     windows = scratch.save(benchmark_windows(items, width), "windows")
-    if windows.count() > BROADCAST_WINDOWS:
-        if containment < 1:
-            raise ValueError("a benchmark of this size is joined for exact containment only")
-        return _shuffled(docs, windows, scratch)
-    rows = windows.collect()  # at most BROADCAST_WINDOWS
-    asked = np.unique(np.array([s for r in rows for s in r["shingles"]], np.int64).view(np.uint64))
-    lengths = sorted({len(r["seq"]) - len(r["shingles"]) + 1 for r in rows})
-    counts = {r["shingle"]: r["n"] for r in shingle_counts(docs, spark.sparkContext.broadcast(Lookup(asked)), lengths).collect()}  # of the benchmark's shingles
-    shared = spark.sparkContext.broadcast(prefixes(rows, counts, containment))
-    names = [f.name for f in docs.schema.fields]
+    size = windows.select(F.sum(F.length("text") + 8 * (F.size("seq") + F.size("shingles")) + F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x) + 8))).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return _joined(docs, windows, scratch, prefix, width, containment), prefix
+    held = windows.toArrow()  # at most BROADCAST_BYTES
+    asked = np.unique(held.column("shingles").combine_chunks().flatten().to_numpy().view(np.uint64))
+    lengths = [r[0] for r in windows.select(F.size("seq") - F.size("shingles") + 1).distinct().collect()]  # at most SHINGLE
+    counts = shingle_counts(docs, spark.sparkContext.broadcast(Lookup(asked)), sorted(lengths)).toArrow()  # of the benchmark's shingles
+    shared = spark.sparkContext.broadcast(prefixes(held, counts, containment))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             w = words(batch.column("text"), ALNUM_LOWER)
             start, window = occurrences(w, shared.value, containment)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *_verdicts(w, start, window, shared.value)], names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_verdicts(w, start, window, shared.value)], names=[*batch.schema.names, *(prefix + c for c in RESULT)])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {SCHEMA}")
+    return with_columns(docs, run, ", ".join(f"{prefix}{c} {kind}" for c, kind in RESULT.items())), prefix
 
 
-def _shuffled(docs: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """For a benchmark too large to send around: shingles of documents meet prefixes in a join, rarity included."""
+def _joined(docs: DataFrame, windows: DataFrame, scratch: Scratch, prefix: str, width: int, containment: float) -> DataFrame:
+    """For a benchmark too large to send around. A verdict depends on the text alone, so its digest is the key."""
+    spark = docs.sparkSession
+    lengths = sorted(r[0] for r in windows.select(F.size("seq") - F.size("shingles") + 1).distinct().collect())  # at most SHINGLE
+    each = scratch.save(windows.select("text", F.size("shingles").alias("n"), F.posexplode("shingles").alias("offset", "shingle")), "shingles")
+    all_bits = spark.sparkContext.broadcast(bit_table(each, "shingle"))
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("of", F.md5(F.col("text").cast("binary")))
 
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             w = words(batch.column("text"), ALNUM_LOWER)
-            for h, at in shingles_of(w):
-                row = np.searchsorted(w.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column("__row").take(pa.array(row)), pa.array(at - w.first[row]), pa.array(h.view(np.int64))], names=["__row", "pos", "shingle"])
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k in lengths:
+                h, _ = shingles_of(w, k)
+                found, n = np.unique(h[in_bits(all_bits.value, h)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("times"))
+    ranked = each.join(counts, "shingle", "left").groupBy("text", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "shingle", "offset"))).alias("by"))  # at most `width` a window
+    need = F.col("n") - F.ceil(F.lit(containment) * F.col("n") - 1e-9).cast("int") + 1
+    chosen = scratch.save(ranked.select("text", F.explode(F.slice("by", F.lit(1), need)).alias("p")).select("text", "p.shingle", "p.offset"), "prefixes")
+    bits = spark.sparkContext.broadcast(bit_table(chosen, "shingle"))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles that may be a prefix, with the words around them."""
         for batch in pieces(batches):
             w = words(batch.column("text"), ALNUM_LOWER)
-            bounds = pa.array(w.first.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(bounds, pa.array(w.hash.view(np.int64)))], names=[*batch.schema.names, "__words"])
-
-    keyed = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    places = keyed.select("__row", "text").mapInArrow(positions, "__row long, pos long, shingle long")
-    listed = windows.groupBy("seq", "shingles").agg(F.collect_set("item_id").alias("items")).withColumn("window", F.xxhash64("seq"))
-    each = scratch.save(listed.select("window", F.posexplode("shingles").alias("offset", "shingle")), "shingles")
-    counts = places.join(each.select("shingle").distinct(), "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
-    rarest = each.join(counts, "shingle", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("r")).select("window", F.col("r.shingle").alias("shingle"), F.col("r.offset").alias("offset"))
-    hits = places.join(rarest, "shingle").select("__row", "window", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0").distinct()
-    texts = keyed.select("__row", "text").mapInArrow(sequences, "__row long, text string, __words array<long>")
-    exact = hits.join(texts, "__row").join(listed.select("window", "seq", "items"), "window").filter(F.slice("__words", (F.col("start") + 1).cast("int"), F.size("seq")) == F.col("seq"))
-    covered = exact.select("__row", F.explode(F.sequence("start", F.col("start") + F.size("seq") - 1)).alias("word")).distinct().groupBy("__row").agg(F.count("*").alias("n_hit"))
-    of = exact.select("__row", F.explode("items").alias("item")).groupBy("__row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    sizes = texts.select("__row", F.size("__words").cast("long").alias("n_words"))
-    whole = keyed.join(sizes, "__row").join(covered, "__row", "left").join(of, "__row", "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return whole.select(*docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+            for k in lengths:
+                h, at = shingles_of(w, k)
+                found = np.flatnonzero(in_bits(bits.value, h))
+                for low in range(0, len(found), FLUSH_WINDOWS):
+                    some = found[low : low + FLUSH_WINDOWS]
+                    row = np.searchsorted(w.first, at[some], "right") - 1
+                    begin, end = np.maximum(w.first[row], at[some] - width + 1), np.minimum(w.first[row + 1], at[some] + width)
+                    around = [b" ".join(w.word(j) for j in range(i, e)) for i, e in zip(begin.tolist(), end.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("of").take(pa.array(row)), pa.array(h[some].view(np.int64)), pa.array(at[some] - w.first[row]), pa.array(at[some] - begin), pa.array(around, pa.binary())], names=["of", "shingle", "pos", "back", "around"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            keep, starts, sizes = [], [], []
+            for i, (pos, back, around, text, offset) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pos", "back", "around", "text", "offset")), strict=True)):
+                want, low = text.split(b" "), back - offset
+                if low >= 0 and contains(around.split(b" ")[low : low + len(want)], want, containment):
+                    keep.append(i)
+                    starts.append(pos - offset)
+                    sizes.append(len(want))
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("of").take(take), batch.column("text").take(take), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=["of", "text", "start", "size"])
+
+    met = texts.mapInArrow(hits, "of string, shingle long, pos long, back long, around binary").join(chosen, "shingle").select("of", "pos", "back", "around", "text", "offset")
+    found = scratch.save(met.mapInArrow(verified, "of string, text binary, start long, size long").distinct(), "found")
+    covered = found.select("of", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("word")).distinct().groupBy("of").agg(F.count("*").alias("n_hit"))
+    listed = found.select("of", "text").distinct().join(windows.select("text", "items"), "text").select("of", F.explode("items").alias("item")).groupBy("of").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    verdicts = covered.join(listed, "of").select(F.col("of").alias(f"{prefix}of"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    verdicts = scratch.save(verdicts, "verdicts").select(f"{prefix}of", *(F.col(c).alias(prefix + c) for c in ("n_hit", "n_items", "items_sha256")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            w = words(batch.column("text"), ALNUM_LOWER, hashed=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(w.first))], names=[*batch.schema.names, f"{prefix}n_words"])
+
+    sized = with_columns(docs, counted, f"{prefix}n_words long").withColumn(f"{prefix}of", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    whole = sized.join(verdicts, f"{prefix}of", "left")
+    for c in ("n_hit", "n_items"):
+        whole = whole.withColumn(prefix + c, F.coalesce(prefix + c, F.lit(0)))
+    none = hashlib.sha256(b"").hexdigest()
+    return whole.withColumns({f"{prefix}items_sha256": F.coalesce(f"{prefix}items_sha256", F.lit(none)), f"{prefix}contaminated": F.col(f"{prefix}n_hit") > 0}).drop(f"{prefix}of")
+
+
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, width: int = WIDTH, containment: float = 1.0) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
+    found, prefix = _judged(spark, docs, items, width, containment)
+    return found.select(*(c for c in docs.columns if c not in RESULT), *(F.col(prefix + c).alias(c) for c in RESULT))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows."""
-    return contamination(spark, docs, items).filter("NOT contaminated").select(docs.columns)
+    """``docs`` without contaminated rows; all columns as they were."""
+    found, prefix = _judged(spark, docs, items, WIDTH, 1.0)
+    return found.filter(f"NOT {prefix}contaminated").select(docs.columns)
