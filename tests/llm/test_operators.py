@@ -118,6 +118,10 @@ def test_quality(spark, docs, none):
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not (r["base_failed"] and r["kept"])
     empty = labels.filter("doc_id < 0")
     assert all(r["kept"] != r["base_failed"] and r["score"] is None for r in quality.judged(spark, docs, empty).collect())
+    kept = [(r["doc_id"], r["text"]) for r in quality.kept_documents(spark, docs, labels).collect()]
+    assert sorted(repr(d) for d, _ in kept) == sorted(repr(r["doc_id"]) for r in got if r["kept"])
+    again = spark.createDataFrame([(0, BASE), (0, "too short"), (0, BASE)], "doc_id long, text string")
+    assert [r["text"] for r in quality.kept_documents(spark, again, empty).collect()] == [BASE, BASE]  # rows of their own
     assert quality.judged(spark, none, labels).count() == 0 and quality.kept_documents(spark, docs, labels).columns == docs.columns
 
 
@@ -158,6 +162,38 @@ def test_token_files(spark, docs, none, tmp_path):
     assert len(got) == len(DOCS) and token_files.token_files(spark, none, f"file://{tmp_path}/none").count() == 0
 
 
+def thue_morse(n: int, first: int) -> str:
+    bits = [first]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits)
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    x, y = thue_morse(4096, 0), thue_morse(4096, 1)
+    texts = [x, y, f"{x} {y} {x}", f"{y} {x} {y}"] + [f"{w} {prose(30)}" for w in (x, y)]
+    assert len(set(words(pa.array([x, y]), ALNUM_LOWER).hash.tolist())) == 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in packing.packed(spark, docs).collect() if r["piece"] == 0}
+    read = {r["doc_id"]: r for r in token_files.token_files(spark, docs).collect()}
+    for d, t in enumerate(texts):
+        ids = library_ids(t)
+        assert got[d]["ids_crc32"] == crc(ids[:4096]) and read[d]["ids_crc32"] == crc(ids)
+    assert len({r["fp"] for r in near_dedup.near_duplicates(spark, docs).collect()}) == len(texts)
+    items = [(1, f"{x} {x}"), (2, y)]
+    found = decontaminate.contamination(spark, docs, spark.createDataFrame(items, "item_id long, text string")).drop("text").collect()
+    assert sorted(map(tuple, found)) == sorted((d, *hits(t, items)) for d, t in enumerate(texts))
+    n = {r["doc_id"]: r["n_known"] for r in class_lm.scored(spark, docs.filter("doc_id IN (0, 4)")).collect()}
+    assert n[0] == 2 and n[4] >= 2
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "hash_spans", lambda data, start, end: np.zeros(len(start), np.uint64))
+    enc, text = tokens.Encoder(tokens.vocabulary_path()), "one two don't two 12 one"
+    ids, _ = enc.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == library_ids(text)
+
+
 def test_packing(spark, docs, none):
     got = packing.packed(spark, docs).collect()
     want = sorted((d is None, d or 0, k, o, len(ids[o : o + 4096]), crc(ids[o : o + 4096])) for d, t in DOCS for ids in [library_ids(t)] for k, o in enumerate(range(0, len(ids), 4096)))
@@ -209,6 +245,11 @@ def test_passages(spark, docs, none):
     assert all(len(alnum(t)) < 10 for d, t in kept if d == 2)  # what lies outside the aligned stretch
     cut = next(t for d, t in kept if d == 8)
     assert alnum(cut) == alnum(DOCS[8][1].replace(PASSAGE, ""))
+    odd = spark.createDataFrame([(None, PASSAGE), (None, f"x {PASSAGE}"), (-(1 << 63), f"y y {PASSAGE}"), (5, PASSAGE), (5, PASSAGE), (5, f"z {PASSAGE}")], "doc_id long, text string")
+    found = collections.Counter((r["doc_id"], r["start"], r["source_doc_id"]) for r in passages.repeats(spark, odd).collect())
+    assert {d for d, _, _ in found} == {None, -(1 << 63), 5} and {s for _, _, s in found} == {None} and sum(n for (d, _, _), n in found.items() if d is None) == 1
+    n = len(alnum(PASSAGE))
+    assert sorted(len(alnum(r["text"])) for r in passages.without_repeats(spark, odd).collect()) in ([1, 1, 2, n], [1, 2, n + 1])
     assert passages.repeats(spark, none).count() == 0 and passages.without_repeats(spark, none).columns == none.columns
 
 
@@ -262,9 +303,9 @@ def hits(text: str | None, items: list[tuple]) -> tuple:
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("most", [decontaminate.BROADCAST_WINDOWS, 1])
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 1])
 def test_decontamination(spark, docs, none, most, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     items = [(1, PASSAGE), (20, " ".join(BASE.split()[30:45])), (3, "rights reserved"), (4, None), (5, "..."), (6, prose(30)), (7, "漢字"), (3, "rights reserved"), (8, BASE.upper())]
     table = spark.createDataFrame(items, "item_id long, text string")
     narrow = docs.select("doc_id", "text")
@@ -272,9 +313,16 @@ def test_decontamination(spark, docs, none, most, monkeypatch):
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, *hits(t, items))) for d, t in DOCS)
     assert decontaminate.contamination(spark, none.select("doc_id", "text"), table).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.contamination(spark, narrow, table.filter("item_id < 0")).collect())
+    wide = docs.withColumns({"__n_words": docs.score, "n_hit": docs.score, "contaminated": docs.source})
+    again = decontaminate.contamination(spark, wide, table)
+    assert sorted(map(repr, map(tuple, again.select(got[0].__fields__).collect()))) == sorted(map(repr, map(tuple, got)))
+    kept = decontaminate.clean_documents(spark, wide, table)
+    assert kept.columns == wide.columns and kept.count() == sum(not r["contaminated"] for r in got)
 
 
-def test_partial_containment(spark, docs):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 1])
+def test_partial_containment(spark, docs, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     w = BASE.split()[20:40]
     w[7] = "changed"
     table = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
@@ -382,7 +430,7 @@ def test_near_duplicates(spark, docs, none):
     assert near_dedup.near_duplicates(spark, none).count() == 0
 
 
-def test_banded_distance_equals_the_table():
+def test_banded_distance_equals_the_table(monkeypatch):
     def table(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -392,7 +440,8 @@ def test_banded_distance_equals_the_table():
             row = new
         return row[-1]
 
-    for _ in range(400):
+    for step in range(400):
+        monkeypatch.setattr(align, "TABLE_BITS", (1 << 27) * (step % 2))
         a, b = ([random.randint(0, 4) for _ in range(random.randint(0, 18))] for _ in range(2))
         k, d = random.randint(0, 9), table(a, b)
         assert align.edit_distance(np.array(a, int), np.array(b, int), k) == (d if d <= k else None)
