@@ -63,9 +63,9 @@ def asof_join(spark, sf_dir):
     return relational.asof(left, right, ["user_id"], "ts", "last_id").select("event_id", "last_id")
 
 
-@query("range_join", "SELECT e.event_id, o.o_orderkey FROM events e JOIN (SELECT o_orderkey, o_orderkey * 3 AS low, o_orderkey * 3 + 7 AS high FROM orders WHERE o_orderkey % 50 = 0) o ON e.event_id >= o.low AND e.event_id < o.high")
+@query("range_join", "SELECT e.event_id, o.o_orderkey FROM events e JOIN (SELECT o_orderkey, o_orderkey * 3 AS low, o_orderkey * 3 + 7 AS high FROM orders) o ON e.event_id >= o.low AND e.event_id < o.high")
 def range_join(spark, sf_dir):
-    spans = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select("o_orderkey", (F.col("o_orderkey") * 3).alias("low"), (F.col("o_orderkey") * 3 + 7).alias("high"))
+    spans = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 3).alias("low"), (F.col("o_orderkey") * 3 + 7).alias("high"))
     return relational.in_range(table(spark, sf_dir, "events").select("event_id"), "event_id", spans, "low", "high", 64).select("event_id", "o_orderkey")
 
 

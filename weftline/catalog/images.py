@@ -13,11 +13,11 @@ from weftline.operators import pixels
 
 N = 8
 _V = "CAST(least(255, greatest(0, floor(128 + 64 * CAST(embedding[{i}] AS DOUBLE)))) AS BIGINT)"
-PIXELS = f"SELECT vec_id AS img, k // {N} AS y, k % {N} AS x, c, {_V.format(i='(k + 21 * c) % 64 + 1')} AS v FROM embeddings, (SELECT range AS k FROM range(64)), (SELECT range AS c FROM range(3)) WHERE vec_id < 200"
+PIXELS = f"SELECT vec_id AS img, k // {N} AS y, k % {N} AS x, c, {_V.format(i='(k + 21 * c) % 64 + 1')} AS v FROM embeddings, (SELECT range AS k FROM range(64)), (SELECT range AS c FROM range(3))"
 
 
 def _pixels(spark, sf_dir):
-    return pixels.from_vectors(table(spark, sf_dir, "embeddings").filter("vec_id < 200"), "vec_id", "embedding", N)
+    return pixels.from_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", N)
 
 
 def _op(name: str, sql: str, make) -> None:

@@ -70,11 +70,12 @@ def index_filter_format(spark, sf_dir):
     return _index(spark, sf_dir).filter(F.col("format") == "png").select("sample_id")
 
 
-@query("read_files", "SELECT range AS pos, coalesce(length(text), 0) AS size, text IS NOT NULL AS found FROM range(2000) LEFT JOIN documents ON doc_id = range * 3")
+@query("read_files", "SELECT a.doc_id AS pos, coalesce(length(d.text), 0) AS size, d.text IS NOT NULL AS found FROM documents a LEFT JOIN documents d ON d.doc_id = a.doc_id * 3")
 def read_files(spark, sf_dir):
     """A list of keys to contents; a missing one is empty, not an error."""
-    asked = spark.range(2000).select(F.col("id").alias("pos"), (F.col("id") * 3).alias("doc_id"))
-    return asked.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "left").select("pos", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.col("text").isNotNull().alias("found"))
+    documents = table(spark, sf_dir, "documents")
+    asked = documents.select(F.col("doc_id").alias("pos"), (F.col("doc_id") * 3).alias("doc_id"))
+    return asked.join(documents.select("doc_id", "text"), "doc_id", "left").select("pos", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.col("text").isNotNull().alias("found"))
 
 
 _TOKENS = f"SELECT sample_id AS pos, CAST(n_chars * 31 % 50000 AS BIGINT) AS token FROM ({ids('documents', 'doc_id', 'doc_id, n_chars')})"

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import rng
+from weftline.operators import order
 
 
 def starts(spark, n: int, length: int, batch: int, targets: bool = True, seed: int | None = None, epoch: int = 0) -> DataFrame:
@@ -19,14 +20,18 @@ def starts(spark, n: int, length: int, batch: int, targets: bool = True, seed: i
     return spark.range(steps * batch).select(F.col("id").alias("window"), F.floor(F.col("id") / batch).cast("long").alias("step"), F.pmod("id", F.lit(batch)).alias("row"), start.alias("start"))
 
 
-def windows(tokens: DataFrame, plan: DataFrame, length: int) -> DataFrame:
-    """Adds x and y (the shift by one) to a plan of starts; tokens: (pos, token).
+def windows(tokens: DataFrame, plan: DataFrame, length: int, chunk: int = 4096) -> DataFrame:
+    """Adds x and y (the shift by one) to a plan of starts; tokens: (pos, token), pos 0, 1, 2 and so on.
 
-    Windows are exploded to positions and joined, so neither side has to fit a task.
+    Tokens are gathered into arrays of ``chunk``, each with the first ``length`` tokens of the next one, so
+    every window is a slice of one array: tokens are shuffled once, and no window is taken apart.
     """
-    places = plan.select("window", "start", F.explode(F.sequence(F.lit(0), F.lit(length))).alias("k")).withColumn("pos", F.col("start") + F.col("k"))
-    w = places.join(tokens, "pos").groupBy("window", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda r: r["token"]).alias("w"))
-    return w.select("window", "start", F.slice("w", 1, length).alias("x"), F.slice("w", 2, length).alias("y"))
+    chunk = max(chunk, length + 1)
+    rows = tokens.groupBy(F.floor(F.col("pos") / chunk).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda r: r["token"]).alias("all"))
+    heads = tokens.filter((F.pmod("pos", F.lit(chunk)) < length) & (F.col("pos") >= chunk)).groupBy((F.floor(F.col("pos") / chunk) - 1).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda r: r["token"]).alias("head"))
+    whole = rows.join(heads, "chunk", "left").select("chunk", F.concat("all", F.coalesce("head", F.slice("all", 1, 0))).alias("all"))
+    asked = plan.select("window", "start", F.floor(F.col("start") / chunk).alias("chunk"), F.pmod("start", F.lit(chunk)).cast("int").alias("at"))
+    return asked.join(whole, "chunk").select("window", "start", F.slice("all", F.col("at") + 1, F.lit(length)).alias("x"), F.slice("all", F.col("at") + 2, F.lit(length)).alias("y"))
 
 
 def shifted(tokens: DataFrame, chunk: int = 1 << 16) -> DataFrame:
@@ -40,7 +45,7 @@ def shifted(tokens: DataFrame, chunk: int = 1 << 16) -> DataFrame:
 def video_plan(videos: DataFrame, span: int, stride: int = 1) -> DataFrame:
     """videos (video, n_frames): windows of each and the running bounds [low, high) of its windows in the whole set."""
     n = videos.withColumn("n_windows", F.greatest(F.lit(0), F.col("n_frames") - span + 1))
-    deal = n.withColumn("__deal", F.shiftright(F.col("video").cast("long"), 16))
+    deal = order.dealt(n, "video")
     sums = deal.groupBy("__deal").agg(F.sum("n_windows").alias("__s")).withColumn("__before", F.sum("__s").over(W.orderBy("__deal")) - F.col("__s")).drop("__s")
     inner = deal.withColumn("__run", F.sum("n_windows").over(W.partitionBy("__deal").orderBy("video")))
     return inner.join(sums, "__deal").withColumn("high", F.col("__run") + F.col("__before")).withColumn("low", F.col("high") - F.col("n_windows")).drop("__deal", "__run", "__before")

@@ -43,7 +43,7 @@ class EpochPlan:
             mine, count = slots.withColumn("at", F.floor(F.col("slot") / self.world).cast("long")), (n // self.world if self.drop_last else -(-n // self.world))
         else:
             own = pos.filter(shard.rank_of(self.shard, F.col("sample_id"), n, self.world) == self.rank)
-            mine, count = order.ranked(own, F.shiftright("pos", order.ID_BITS), [F.col("pos")], "at"), None
+            mine, count = order.ranked(own.withColumn("__deal", F.shiftright("pos", 16)), [F.col("pos")], "at"), None
         if self.drop_last:
             count = mine.count() if count is None else count
             mine = batch.drop_last(mine, count, self.batch_size, "at")

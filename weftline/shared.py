@@ -1,20 +1,31 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and what Spark knows of a frame's size."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
 
+def root(spark: SparkSession) -> str:
+    """The URI of spark.checkpoint.dir, or, in local sessions without it, of a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="weftline-"))
+
+
+def size_estimate(df: DataFrame) -> int:
+    """Bytes that Spark expects of a frame, from file sizes alone: no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, or, in local sessions without it, below a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="weftline-"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder's URI below the shared one."""
+    return f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
