@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*))>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The rest of a tag, with quoted values that may hold a `>`.
+_QUOTED = re.compile(r"""(?>[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -68,6 +70,43 @@ header li 1/1 x5; header div 15/0; page h1 6/0 +; page p 40/0 x3 +; page h2 4/0
 """
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, whether it closes, name in lower case, attributes) of each tag; comments and declarations have no name.
+
+    Goes forward only: send an offset to go on from there. Work is in proportion to the page: past the last `>`
+    nothing is a tag, and once quotes that never close have been followed to the end ``4`` times, a tag ends at its first `>`.
+    """
+    last, at, patience = page.rfind(">"), 0, 4
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            return
+        if page.startswith(("<!", "<?"), at):
+            mark = "-->" if page.startswith("<!--", at) else ">"
+            end = page.find(mark, at + len(mark) + 1 if mark == "-->" else at)
+            end = end + len(mark) if end >= 0 else len(page)
+            at = (yield at, end, False, "", "") or end
+            continue
+        if at > last:
+            at += 1
+            continue
+        closing = page.startswith("/", at + 1)
+        name = _NAME.match(page, at + 1 + closing)
+        if not name:
+            at += 1
+            continue
+        whole = _QUOTED.match(page, name.end()) if patience else None
+        if whole:
+            end = whole.end()
+        else:
+            patience -= patience > 0
+            end = page.find(">", name.end()) + 1
+            if not end:
+                at += 1
+                continue
+        at = (yield at, end, closing, name[0].lower(), page[name.end() : end - 1]) or end
+
+
 class Blocks(list):
     """(text, words, linked words, aside_tag, aside_word, main_tag, main_word, heading, item)."""
 
@@ -104,25 +143,27 @@ def blocks(page: str) -> Blocks:
             out.append((text, words, min(words, linked), *flags, len(leaf) == 2 and leaf[0] == "h" and leaf[1].isdigit(), leaf in ("li", "dt", "dd", "td", "th", "option")))
         parts.clear()
 
+    opened: dict[str, int] = {}  # how many of each tag are on the stack
+    found, move = tags(page), None
     while True:
-        token = _TOKEN.search(page, at)
-        piece = page[at : token.start() if token else len(page)]
-        if piece and not hidden:
-            parts.append((piece, in_link > 0))
-        if not token:
+        try:
+            begin, end, closing, tag, attributes = found.send(move)
+        except StopIteration:
+            begin = end = len(page)
+            tag = None
+        move = None
+        if begin > at and not hidden:
+            parts.append((page[at:begin], in_link > 0))
+        if tag is None:
             break
-        at = token.end()
-        closing, tag, attributes = (token[1], token[2], token[3]) if token[2] else (token[4], token[5], token[6])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
             elif tag == "br":
                 parts.append((" ", False))
-            elif tag == "span" or tag == "label":
-                pass
             continue
         if not hidden:
             flush()
@@ -130,25 +171,28 @@ def blocks(page: str) -> Blocks:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    hidden -= sum(t in HIDDEN for t, _ in stack[k:])
-                    del stack[k:]
-                    in_link = 0
+            while opened.get(tag):
+                one, _ = stack.pop()
+                opened[one] -= 1
+                hidden -= one in HIDDEN
+                in_link = 0
+                if one == tag:
                     break
         elif tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            at = end.start() if end else len(page)
+            raw_end = re.compile(f"</{tag}", re.I).search(page, at)
+            at = move = raw_end.start() if raw_end else len(page)
             stack.append((tag, none))
+            opened[tag] = opened.get(tag, 0) + 1
             hidden += 1
         elif tag not in ("p", "li", "dt", "dd", "tr", "td", "th") or "=" in attributes:
             if tag == "body":
-                hidden, stack = 0, []
+                hidden, stack, opened = 0, [], {}
             around = stack[-1][1] if stack else none
             own = _flags(tag, attributes)
             if tag == "header" and around[2]:  # of the article itself
                 own = (False, *own[1:])
             stack.append((tag, tuple(max(a, b) for a, b in zip(around, own, strict=True))))
+            opened[tag] = opened.get(tag, 0) + 1
             hidden += tag in HIDDEN
     flush()
     return out
