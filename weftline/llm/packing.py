@@ -1,8 +1,8 @@
 """Operator 4: best-fit packing by exact complements.
 
 Only the histogram of piece lengths, at most ``size`` rows however many documents there are, goes to
-the driver. There the longest length still available opens a sequence; the gap it leaves is filled
-exactly by one, two or three available lengths if their sums allow, else the longest length that
+the driver. There an index holds the totals that one, two and three available lengths make. The longest
+length still available opens a sequence; the gap it leaves is looked up and filled exactly, else the longest length that
 fits goes in and the smaller gap is tried again. The resulting pattern is used as often as the
 counts permit. Pieces then find their place by their rank among pieces of equal length: the ranks
 come from salted groups, so that a length that a third of all pieces share is no single task.
@@ -27,34 +27,57 @@ from weftline.llm.scratch import Scratch
 from weftline.llm.tokens import END_ID, encoded, vocabulary_path
 
 SIZE = 4096
-
-
-def _exact(count: np.ndarray, gap: int, support: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths that sum to the gap; the fewest, and of those the longest."""
-    if count[gap]:
-        return [gap]
-    some = support[support < gap]
-    if not len(some):
+#: Pieces of one length that are ranked in one group.
+SALT_ROWS = 20_000
+
+
+class SumIndex:
+    """Which totals one, two and three available lengths make.
+
+    For each total the largest length of a pair, and of a triple, that may still be available. Counts only
+    fall, so an entry that has run out moves on to the next smaller length and never back.
+    """
+
+    def __init__(self, count: np.ndarray):
+        self.count, size = count, len(count) - 1
+        some = np.flatnonzero(count)
+        self.pair, self.triple = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        for x in some.tolist():  # ascending: the largest stays
+            self.pair[x + some[some <= min(x, size - x)]] = x
+        two = np.flatnonzero(self.pair)
+        for x in some.tolist():
+            self.triple[x + two[two <= size - x]] = x
+
+    def _two(self, total: int, high: int) -> int:
+        """The largest length up to ``high`` that is available together with the rest of the total; 0 if none is."""
+        low = -(-total // 2)
+        while high >= low:
+            rest = total - high
+            if rest > 0 and self.count[high] > (rest == high) and self.count[rest]:
+                return high
+            high -= 1
+        return 0
+
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths that sum to the gap; the fewest, and of those the longest."""
+        if self.count[gap]:
+            return [gap]
+        x = self.pair[gap] = self._two(gap, int(self.pair[gap]))
+        if x:
+            return [int(x), int(gap - x)]
+        x = int(self.triple[gap])
+        while 3 * x >= gap and x:
+            if self.count[x] and (top := int(self.pair[gap - x])):
+                self.count[x] -= 1
+                y = self._two(gap - x, min(x, top))
+                self.count[x] += 1
+                if y:
+                    self.triple[gap] = x
+                    return [x, y, gap - x - y]
+            x -= 1
+        self.triple[gap] = 0
         return None
 
-    def pair(total: int, high: int) -> list[int] | None:
-        x = some[(some <= min(high, total - 1)) & (2 * some >= total)]
-        other = total - x
-        fits = (count[other] > 0) & ((x != other) | (count[x] > 1))
-        return [int(x[fits][-1]), int(other[fits][-1])] if fits.any() else None
-
-    if found := pair(gap, gap):
-        return found
-    for x in some[3 * some >= gap][::-1].tolist():
-        count[x] -= 1
-        rest = pair(gap - x, x)
-        if rest and any(count[v] < rest.count(v) for v in rest):
-            rest = None
-        count[x] += 1
-        if rest:
-            return [x, *rest]
-    return None
-
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
     """(lengths of one sequence, how many such sequences), all pieces of the histogram used once."""
@@ -64,6 +87,7 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int
             raise ValueError(f"a piece of {length} does not fit {size}")
         count[length] = n
     out: list[tuple[list[int], int]] = []
+    index = SumIndex(count)
     while True:
         support = np.flatnonzero(count)
         if not len(support):
@@ -71,7 +95,7 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int
         one, gap = [int(support[-1])], size - int(support[-1])
         count[one[0]] -= 1
         while gap:
-            fill = _exact(count, gap, np.flatnonzero(count[: gap + 1]))
+            fill = index.exact(gap)
             if fill is None:
                 below = np.flatnonzero(count[: gap + 1])
                 if not len(below):
@@ -124,9 +148,10 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     table = slots(patterns(histogram, size))
     spark = pieces.sparkSession
-    salts = max(16, spark.sparkContext.defaultParallelism * 4)
+    hot = [x for n, m in histogram.items() if m > SALT_ROWS for x in (F.lit(n).cast("long"), F.lit(-(-m // SALT_ROWS)))]
+    salts = F.coalesce(F.create_map(*hot)[F.col("length")], F.lit(1)) if hot else F.lit(1)
     order = [F.col(c) for c in pieces.columns if c != "length"]
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), salts).cast("int"))
     ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy(*order)).cast("long") - 1)
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     shared = spark.sparkContext.broadcast((table["length"].to_numpy() * (1 << 40) + table["low"].to_numpy(), table["low"].to_numpy(), table["first"].to_numpy(), table["offset"].to_numpy()))
