@@ -6,9 +6,11 @@ import collections
 import functools
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -89,6 +91,10 @@ def test_html(spark):
     by = {r["page_id"]: r for r in got}
     assert len(got) == 10 and by[0]["text"] == by[1]["text"] == "" and by[8]["text"] == by[9]["text"] == want and by[3]["text"] == cases[3]
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+    for broken in ("<a " * 350_000, '<a "' * 250_000, "<div>" * 100_000 + "</span></p></x>" * 40_000, "<a '\">" * 150_000):  # a second or two each if work is in proportion
+        began = time.time()
+        html_text.main_text(broken)
+        assert time.time() - began < 20
     x, y = html_text.labelled_table()
     assert (html_text.trained_tree().predict(x) == y).mean() > 0.98
     assert html_text.extracted(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
@@ -211,6 +217,23 @@ def test_packing(spark, docs, none):
     assert packing.packed(spark, none).count() == 0
 
 
+def test_sums_equal_all_combinations():
+    some = random.Random(3)
+    for _ in range(400):
+        size = some.randint(5, 30)
+        count = np.zeros(size + 1, np.int64)
+        for _ in range(some.randint(1, 9)):
+            count[some.randint(1, size)] += some.randint(1, 2)
+        index = packing.SumIndex(count)
+        for _ in range(4):
+            gap, bag = some.randint(1, size), [x for x in range(size + 1) for _ in range(count[x])]
+            fits = [max(fit) for k in (1, 2, 3) if (fit := [tuple(sorted(c, reverse=True)) for c in itertools.combinations(bag, k) if sum(c) == gap])]
+            found = index.exact(gap)
+            assert (tuple(found) if found else None) == (fits[0] if fits else None)
+            for x in found or ():
+                count[x] -= 1
+
+
 def test_patterns_use_each_piece_once_and_fill_exactly():
     histogram = {4096: 3, 3000: 5, 1096: 5, 2000: 4, 1048: 8, 17: 9, 4000: 2}
     used = collections.Counter()
@@ -402,6 +425,11 @@ def test_class_bigrams(spark, docs, none):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got) and class_lm.scored(spark, none).count() == 0
 
 
+def test_class_bigrams_are_the_same_however_texts_are_dealt(spark, docs):
+    one, many = (sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], r["score"]) for r in class_lm.scored(spark, docs.repartition(n)).collect()) for n in (1, 7))
+    assert [r[:3] for r in one] == [r[:3] for r in many] and np.allclose([r[3] for r in one], [r[3] for r in many], atol=1e-6)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(1)
     kinds = rng.integers(0, 3, 30)
