@@ -7,25 +7,16 @@ laptop) a temporary folder of this machine is used.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+from weftline.shared import root, size_estimate
 
+__all__ = ["Scratch", "size_estimate"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The URI of the shared folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    return _LOCAL[app]
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -33,7 +24,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,7 +33,13 @@ class Scratch:
         writer = df.write.mode("overwrite")
         if zstd:
             writer = writer.option("compression", "zstd")
-        writer.parquet(self.path(name))
+        conf = self.spark.conf
+        before = conf.get(CLEAN_UP, "false")
+        conf.set(CLEAN_UP, "true")  # the table is whole when the query ends: nothing reads its shuffles again
+        try:
+            writer.parquet(self.path(name))
+        finally:
+            conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
@@ -50,8 +47,3 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def size_estimate(df: DataFrame) -> int:
-    """Bytes that Spark expects of a frame, from file sizes alone: no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
