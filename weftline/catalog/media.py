@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.catalog import query, table
+from weftline.catalog.images import PIXELS, N
 from weftline.operators import multi, order, transforms
 from weftline.shared import folder
 from weftline.sources import archive, codecs, records
@@ -26,7 +27,7 @@ def _encoded(spark, sf_dir, kind: str):
     return _images(spark, sf_dir).select("img", "h", "w", "data", encode("h", "w", "data").alias("content"))
 
 
-@query("archive_roundtrip")
+@query("archive_roundtrip", "SELECT doc_id || '.txt' AS name, 'txt' AS ext, octet_length(encode(text)) AS size, md5(text) AS md5 FROM documents UNION ALL SELECT doc_id || '.json', 'json', length('{\"label\": ' || quality || '}'), md5('{\"label\": ' || quality || '}') FROM labels")
 def archive_roundtrip(spark, sf_dir):
     """Documents and labels as members of TAR shards, read back: name, size, ext."""
     docs = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.col("text").alias("content"))
@@ -58,7 +59,7 @@ def folder_archive(spark, sf_dir):
     return back.join(classed.select("name", "class", "label"), "name").select("name", "class", "label", "size")
 
 
-@query("records_roundtrip")
+@query("records_roundtrip", f"WITH p AS ({PIXELS}) SELECT img, {N} AS width, {N} AS height, 'raw_u8' AS format, md5(unhex(string_agg(printf('%02x', v), '' ORDER BY y, x, c))) AS md5 FROM p GROUP BY img")
 def records_roundtrip(spark, sf_dir):
     """Raw images with JSON notes in indexed record files, LZ4 where smaller, read back and checked."""
     rows = _images(spark, sf_dir).select(F.col("data").alias("content"), F.lit("raw_u8").alias("format"), F.col("w").alias("width"), F.col("h").alias("height"), F.concat(F.lit('{"id": '), "img", F.lit("}")).alias("metadata"), "img")
@@ -91,7 +92,7 @@ def preprocess(spark, sf_dir):
     return back.select("file", "sample_id", F.lit(h).alias("h"), F.lit(w).alias("w"), F.md5("content").alias("md5")).withColumn("file", F.regexp_extract("file", "([^/]+)$", 1))
 
 
-@query("image_heads")
+@query("image_heads", f"SELECT vec_id AS img, {N} AS w, {N} AS h FROM embeddings")
 def image_heads(spark, sf_dir):
     """Width and height from the first bytes of PNG files."""
 
