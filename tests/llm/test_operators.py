@@ -385,6 +385,29 @@ def test_a_host_of_few_labelled_pages_is_mined_among_many(spark):
     assert [tuple(r) for r in got] == [("evil-shop.org", "block", 100)]
 
 
+def test_rules_equal_all_sets_and_shared_tokens_do_no_harm(spark, monkeypatch):
+    """Mined rules against counts of all sets of up to three tokens; then URLs that share 22 words."""
+    from weftline.llm.scratch import Scratch
+
+    some = random.Random(8)
+    baskets = [({t for t in "abcdef" if some.random() < 0.5}, some.random()) for _ in range(400)]
+    baskets = [(sorted(t), "block" if {"a", "b"} <= t or {"c", "d", "e"} <= t or x < 0.05 else "allow") for t, x in baskets]
+    got = {tuple(r["tokens"]) for r in url_rules.mined(spark.createDataFrame(baskets, "tokens array<string>, class string"), Scratch(spark, "test"), "t", 20, False).collect()}
+    want: set[tuple] = set()
+    for size in (1, 2, 3):
+        for one in itertools.combinations("abcdef", size):
+            classes = [c for t, c in baskets if set(one) <= set(t)]
+            bad = classes.count("block")
+            if bad >= 20 and bad >= 0.9 * len(classes) and not any(set(w) <= set(one) for w in want):
+                want.add(one)
+    assert got == want and ("a", "b") in want
+    shared = "/".join(f"word{chr(97 + k)}" for k in range(22))
+    pages = spark.createDataFrame([(i, f"http://{'evil-shop' if i % 2 else 'nice-shop'}.org/en/{i}/{shared}") for i in range(60)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(url_rules, "MIN_COUNT", 10)
+    assert url_rules.filtered(spark, pages, labels).count() == 60
+
+
 def test_seeds_hold_no_host_of_the_tables(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     hosts = {r[0] for r in pages.select(url_rules.host_and_path()[0]).distinct().collect()}

@@ -5,8 +5,8 @@ on up to `?`, `#` or the end. Given rules (host, path, verdict) fit the host and
 the URL's path starts with theirs; the longest wins. All other URLs are judged by mined rules.
 
 A labelled URL is a basket of tokens: its host's labels and their parts, the top-level domain, words of
-the path and names of query fields, and its class. Spark's FP-growth finds frequent combinations;
-those that imply the class `block` with ``MIN_CONFIDENCE`` (by the lower end of a 95 % interval for
+the path and names of query fields, and its class. Spark's FP-growth finds frequent combinations of up to
+``MAX_TOKENS`` tokens; those that imply the class `block` with ``MIN_CONFIDENCE`` (by the lower end of a 95 % interval for
 labels counted in the corpus) and hold no smaller rule are kept. Each is indexed by its rarest token; a
 URL meets the rules of its tokens in a join and is blocked where it has all tokens of one.
 
@@ -66,24 +66,54 @@ def given_rule(rules: list[tuple[str, str, str]] = GIVEN) -> tuple[F.Column, F.C
     return rule, verdict
 
 
+#: Stands between the tokens of a set.
+BETWEEN = "\x1f"
+
+
+def subsets(tokens_: str, size: int) -> F.Column:
+    """All sets of ``size`` tokens of a sorted array, as texts."""
+    after = lambda xs, i: F.slice(xs, i + 2, F.size(xs))
+    whole = F.col(tokens_)
+    sets = F.transform(whole, lambda x: F.array(x))
+    if size > 1:
+        sets = F.flatten(F.transform(whole, lambda x, i: F.transform(after(whole, i), lambda y: F.array(x, y))))
+    if size > 2:
+        sets = F.flatten(F.transform(sets, lambda s: F.transform(F.filter(whole, lambda z: z > F.element_at(s, -1)), lambda z: F.concat(s, F.array(z)))))
+    return F.transform(sets, lambda s: F.array_join(s, BETWEEN))
+
+
 def mined(labelled: DataFrame, scratch: Scratch, name: str, min_count: int, bounded: bool) -> DataFrame:
-    """From (tokens, class): rules as (rule, tokens), the antecedents of `block`."""
+    """From (tokens, class): rules as (rule, tokens), the antecedents of `block`.
+
+    FP-growth by itself finds sets of any size, as many as there are subsets of tokens that always go together. So it
+    mines sets of one, two and three tokens one after another: a set is an item, and each basket holds one and the
+    class. A larger set is built of tokens from smaller ones that are frequent with `block` and no rule yet.
+    """
     from pyspark.ml.fpm import FPGrowth
 
-    baskets = scratch.save(labelled.filter(F.size("tokens") > 0).select(F.array_union("tokens", F.array(F.concat(F.lit("class:"), "class"))).alias("items")), f"{name}-baskets")
-    n = baskets.count()
-    support = (min_count - 0.5) / n if n else 1.1  # FP-growth rounds support * n up
-    spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "rule string, tokens array<string>")
-    if support > 1 or not baskets.filter(F.array_contains("items", "class:block")).limit(1).count():
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(baskets)
-    # The lower end of Wilson's interval: few baskets, or a mere tendency, are no rule.
-    z, k = 1.96, F.col("support") * n
-    of = k / F.col("confidence")
-    low = (F.col("confidence") + z * z / (2 * of) - z * F.sqrt((F.col("confidence") * (1 - F.col("confidence")) + z * z / (4 * of)) / of)) / (1 + z * z / of)
-    rules = model.associationRules.filter(F.element_at("consequent", 1) == "class:block").filter(F.size("antecedent") <= MAX_TOKENS)
-    rules = scratch.save((rules.filter(low >= MIN_CONFIDENCE) if bounded else rules).select(F.array_sort("antecedent").alias("tokens")).withColumn("rule", F.array_join("tokens", " ")), f"{name}-rules")
+    baskets = scratch.save(labelled.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("basket"), F.array_sort("tokens").alias("tokens"), F.concat(F.lit("class:"), "class").alias("class")), f"{name}-baskets")
+    found, z = labelled.sparkSession.createDataFrame([], "tokens array<string>"), 1.96
+    current = baskets
+    for size in range(1, MAX_TOKENS + 1):
+        items = scratch.save(current.select("class", F.explode(subsets("tokens", size)).alias("set")).select(F.array("set", "class").alias("items")), f"{name}-items{size}")
+        n = items.count()
+        if not n or min_count - 0.5 > n:
+            break
+        model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(items)  # it rounds support * n up
+        rules = model.associationRules.filter(F.element_at("consequent", 1) == "class:block")
+        # The lower end of Wilson's interval: few baskets, or a mere tendency, are no rule.
+        of = F.col("support") * n / F.col("confidence")
+        low = (F.col("confidence") + z * z / (2 * of) - z * F.sqrt((F.col("confidence") * (1 - F.col("confidence")) + z * z / (4 * of)) / of)) / (1 + z * z / of)
+        rules = (rules.filter(low >= MIN_CONFIDENCE) if bounded else rules).select(F.element_at("antecedent", 1).alias("set"))
+        rules = scratch.save(rules, f"{name}-rules{size}")
+        found = found.union(rules.select(F.split("set", BETWEEN).alias("tokens")))
+        if size == MAX_TOKENS:
+            break
+        frequent = model.freqItemsets.filter((F.size("items") == 2) & F.array_contains("items", "class:block")).select(F.element_at(F.array_remove("items", "class:block"), 1).alias("set"))
+        open_ = frequent.join(rules, "set", "left_anti").select(F.explode(F.split("set", BETWEEN)).alias("token")).distinct()
+        single = current.select("basket", "class", F.explode("tokens").alias("token")).join(open_, "token")
+        current = scratch.save(single.groupBy("basket", "class").agg(F.array_sort(F.collect_list("token")).alias("tokens")), f"{name}-open{size}")
+    rules = scratch.save(found.select("tokens", F.array_join("tokens", " ").alias("rule")), f"{name}-rules")
     sub, sup = rules.select(F.col("rule").alias("small"), F.explode("tokens").alias("token"), F.size("tokens").alias("size")), rules.select("rule", F.explode("tokens").alias("token"))
     larger = sub.join(sup, "token").filter("small <> rule").groupBy("small", "rule", "size").agg(F.count("*").alias("n")).filter("n = size").select("rule").distinct()
     return rules.join(larger, "rule", "left_anti").select("rule", "tokens")
