@@ -10,9 +10,9 @@ the path and names of query fields, and its class. Spark's FP-growth finds frequ
 labels counted in the corpus) and hold no smaller rule are kept. Each is indexed by its rarest token; a
 URL meets the rules of its tokens in a join and is blocked where it has all tokens of one.
 
-Labels come from two places: documents judged toxic or of low quality, by the document number in a
-page's path, and the short table ``SEEDS`` of URLs whose class nobody doubts. Without labelled rows
-nothing is mined. Null URLs and those without `://` have empty host and path, no tokens, and are
+Labels are those of documents judged toxic or of low quality, by the document number in a page's path, and, where
+the caller has one, a table ``seeds`` (url, class) of URLs whose class is known; a combination needs ``SEED_COUNT`` of
+those. Where labels say nothing about URLs, nothing is mined, and what no given rule fits is allowed. Null URLs and those without `://` have empty host and path, no tokens, and are
 allowed. Rows that repeat a page_id are rows of their own; columns beyond the two named are not read.
 """
 
@@ -29,12 +29,6 @@ MIN_CONFIDENCE, MAX_TOKENS = 0.9, 3
 #: Baskets that a combination must hold in, however many there are in all.
 MIN_COUNT, SEED_COUNT = 20, 3
 
-#: Seed hosts by class; each stands for four URLs.
-SEEDS = {
-    "block": "xxx-tube adult-cams sex-cams casino-royal win-casino online-casino pills-online cheap-meds bets-now sports-bets link-farm spam-links ads-server track-ads click-track free-iphone win-prizes warez-world keygen-crack crack-warez phish-login".split(),
-    "allow": "news-daily city-news daily-post open-library state-university health-institute free-library online-library win-tournament track-field farm-journal link-building server-docs login-help cheap-flights sports-news world-atlas royal-museum garden-farm royal-society field-notes post-office open-source home-garden museum-shop cooking-now flights-now".split(),
-}
-
 
 def host_and_path(url: str = "url") -> tuple[F.Column, F.Column]:
     at = F.locate("://", F.col(url))
@@ -119,12 +113,7 @@ def mined(labelled: DataFrame, scratch: Scratch, name: str, min_count: int, boun
     return rules.join(larger, "rule", "left_anti").select("rule", "tokens")
 
 
-def seeds(spark: SparkSession) -> DataFrame:
-    rows = [(f"http://{sub}{host}.{top}/", what) for what, hosts in SEEDS.items() for host in hosts for sub, top in (("", "com"), ("www.", "net"), ("m.", "org"), ("blog.", "info"))]
-    return spark.createDataFrame(rows, "url string, class string")
-
-
-def filtered(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = GIVEN) -> DataFrame:
+def filtered(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = GIVEN, seeds: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule of every page."""
     scratch = Scratch(spark, "url-rules")
     host, path = host_and_path()
@@ -133,8 +122,10 @@ def filtered(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: li
     number = F.regexp_extract("path", r"^/[a-z]+/(\d{1,18})", 1)
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.when((F.min("quality") == 0) | (F.max("toxic") == 1), "block").otherwise("allow").alias("class"))
     by_document = parsed.filter(number != "").withColumn("doc_id", number.cast("long")).join(known, "doc_id").select(tokens().alias("tokens"), "class")
-    by_seed = seeds(spark).withColumns({"host": host, "path": path}).select(tokens().alias("tokens"), "class")
-    found = mined(by_document, scratch, "documents", MIN_COUNT, True).union(mined(by_seed, scratch, "seeds", SEED_COUNT, False)).dropDuplicates(["rule"])
+    found = mined(by_document, scratch, "documents", MIN_COUNT, True)
+    if seeds is not None:
+        by_seed = seeds.select("url", "class").withColumns({"host": host, "path": path}).select(tokens().alias("tokens"), "class")
+        found = found.union(mined(by_seed, scratch, "seeds", SEED_COUNT, False)).dropDuplicates(["rule"])
     rows = scratch.save(parsed.withColumns({"rule": rule, "verdict": verdict}), "parsed")
     open_ = rows.filter("rule IS NULL AND host <> ''").select("url", "host", "path").distinct().withColumn("tokens", tokens())
     # Inverted index: each rule under its token that the fewest open URLs have.
