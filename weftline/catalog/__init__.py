@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from weftline.catalog import category, images, loading, media, samples  # noqa: F401
+    from weftline.catalog import category, images, inputs, loading, media, samples  # noqa: F401

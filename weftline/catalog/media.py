@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from weftline.catalog import query, table
 from weftline.catalog.images import PIXELS, N
-from weftline.operators import multi, order, transforms
+from weftline.operators import mapped, multi, order, transforms
 from weftline.shared import folder
 from weftline.sources import archive, codecs, records
 from weftline.streaming import buckets
@@ -17,12 +19,10 @@ def _images(spark, sf_dir):
 
 
 def _encoded(spark, sf_dir, kind: str):
-    @F.udf("binary")
-    def encode(h, w, data):
-        import numpy as np
-
-        image = np.frombuffer(data, np.uint8).reshape(h, w, 3)
-        return codecs.encode_bmp(image) if kind == "bmp" else codecs.encode_png(image)
+    @F.pandas_udf("binary")
+    def encode(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.Series:
+        write = codecs.encode_bmp if kind == "bmp" else codecs.encode_png
+        return pd.Series([write(np.frombuffer(d, np.uint8).reshape(a, b, 3)) for a, b, d in zip(h, w, data, strict=True)])
 
     return _images(spark, sf_dir).select("img", "h", "w", "data", encode("h", "w", "data").alias("content"))
 
@@ -76,13 +76,8 @@ def preprocess(spark, sf_dir):
     tar, out = folder(spark, "archive"), folder(spark, "records")
     archive.write_archives(bmp.repartitionByRange(3, "name").sortWithinPartitions("name"), tar).collect()
 
-    @F.udf("struct<h int, w int, data binary>")
-    def decode(content):
-        x = codecs.decode(content)
-        return x.shape[0], x.shape[1], x.tobytes()
-
     members = archive.register(spark).read.format("archive").option("path", tar).load()
-    images = members.select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("img"), decode("content").alias("d")).select("img", "d.*")
+    images = mapped.arrow_images(members.select(F.regexp_extract("name", r"(\d+)", 1).alias("img"), "content"), codecs.decode)
     small = transforms.chain(("Resize", 4, 4)).apply(images)
     rows = small.select(F.col("data").alias("content"), F.lit("raw_u8").alias("format"), F.col("w").alias("width"), F.col("h").alias("height"), "img")
     records.write_records(rows.repartitionByRange(2, "img").sortWithinPartitions("img"), out).collect()
@@ -96,9 +91,9 @@ def preprocess(spark, sf_dir):
 def image_heads(spark, sf_dir):
     """Width and height from the first bytes of PNG files."""
 
-    @F.udf("struct<w int, h int>")
-    def size(content):
-        return codecs.size_of(content)
+    @F.pandas_udf("struct<w int, h int>")
+    def size(heads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([codecs.size_of(h) for h in heads], columns=["w", "h"]).astype("int32")
 
     return _encoded(spark, sf_dir, "png").select("img", size(F.substring("content", 1, 64)).alias("s")).select("img", "s.w", "s.h")
 

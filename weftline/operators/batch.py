@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.order import dealt
+
 
 def fixed(df: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     """batch_id and row_in_batch of a position."""
@@ -32,12 +34,11 @@ def bucket(width: Column, height: Column, step_w: int = 32, step_h: int = 32) ->
 def size_batches(df: DataFrame, size: int, order: str, keys: tuple[str, ...] = ("bucket_w", "bucket_h")) -> DataFrame:
     """Batches of one size class each, at most ``size`` rows; every sample is in exactly one.
 
-    A class that most samples share is ranked in ranges of the id, not in one task.
+    A class that most samples share is ranked in ranges of the id between its quantiles, not in one task.
     """
-    deal = F.shiftright(F.col(order).cast("long"), 16)
-    dealt = df.withColumn("__deal", deal)
-    before = dealt.groupBy(*keys, "__deal").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(W.partitionBy(*keys).orderBy("__deal")) - F.col("__n")).drop("__n")
-    local = dealt.withColumn("__local", F.row_number().over(W.partitionBy(*keys, "__deal").orderBy(order)) - 1)
+    rows = dealt(df, order)
+    before = rows.groupBy(*keys, "__deal").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(W.partitionBy(*keys).orderBy("__deal")) - F.col("__n")).drop("__n")
+    local = rows.withColumn("__local", F.row_number().over(W.partitionBy(*keys, "__deal").orderBy(order)) - 1)
     pos = F.col("__local") + F.col("__before")
     return local.join(before, [*keys, "__deal"]).withColumns({"batch_in_bucket": F.floor(pos / size).cast("long"), "row_in_batch": F.pmod(pos, F.lit(size)).cast("long")}).drop("__deal", "__local", "__before")
 

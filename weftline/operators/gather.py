@@ -15,16 +15,19 @@ def unknown(data: DataFrame, indices: DataFrame, key: str = "sample_id") -> Data
     return indices.join(data.select(key), key, "left_anti")
 
 
+#: Fixed value: a member's name is a stem and what follows its last dot.
+NAME = r"^(.+?)\.([^.]+)$"
+
+
 def split_name(name: Column) -> tuple[Column, Column]:
     """Stem and extension at the last dot."""
-    pattern = r"^(.+?)\.([^.]+)$"
-    return F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
+    return F.regexp_extract(name, NAME, 1), F.regexp_extract(name, NAME, 2)
 
 
 def sidecars(members: DataFrame, name: str = "name", content: str = "content", order: str = "ordinal") -> DataFrame:
     """(key, parts): a map from extension to content; of equal extensions the last wins; names without a dot are left out."""
     stem, ext = split_name(F.col(name))
-    parts = members.filter(F.col(name).rlike(r"^(.+?)\.([^.]+)$")).select(stem.alias("key"), ext.alias("ext"), content, order)
+    parts = members.filter(F.col(name).rlike(NAME)).select(stem.alias("key"), ext.alias("ext"), content, order)
     last = parts.groupBy("key", "ext").agg(F.max_by(content, order).alias(content))
     return last.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", content)))).alias("parts"))
 

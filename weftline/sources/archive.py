@@ -14,6 +14,7 @@ import io
 import tarfile
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
@@ -130,3 +131,40 @@ def folder_classes(df: DataFrame, path: str = "path", root: str = "") -> DataFra
 
 def matches(name: str, pattern: str) -> bool:
     return fnmatch.fnmatch(name, pattern)
+
+
+def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """One file a row, by its name (no folders in it); returns (file, bytes). Names that come again are written again."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def run(batches):
+        attempt = str(TaskContext.get().taskAttemptId())
+        for batch in batches:
+            out = []
+            for member, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with published(folder, member, attempt) as sink:
+                    sink.write(data or b"")
+                out.append({"file": member, "bytes": len(data or b"")})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file", pa.string()), ("bytes", pa.int64())]))
+
+    return df.select(df[name].cast("string"), df[content].cast("binary")).mapInArrow(run, "file string, bytes long")
+
+
+def to_records(members: DataFrame, folder: str, compress: bool = False) -> DataFrame:
+    """Members of archives (name, content) that are images, as they are, into record files, a file a partition.
+
+    Sizes come from the heads of the contents and the format from their first bytes; a size that a head does not tell is 0.
+    Members that are no images are left out. Returns (file, samples, bytes).
+    """
+    from pyspark.sql import functions as F
+
+    from weftline.sources import codecs, formats, records
+
+    @F.pandas_udf("struct<width int, height int>")
+    def size(heads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([codecs.size_of(h) or (0, 0) for h in heads], columns=["width", "height"]).astype("int32")
+
+    images = members.withColumn("format", formats.by_magic(F.col("content"))).filter(F.col("format") != "unknown")
+    rows = images.withColumn("__s", size(F.substring("content", 1, 1 << 16))).select("content", "format", "__s.width", "__s.height", F.to_json(F.struct("name")).alias("metadata"))
+    return records.write_records(rows, folder, compress)
