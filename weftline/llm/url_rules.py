@@ -89,7 +89,10 @@ def mined(labelled: DataFrame, scratch: Scratch, name: str, min_count: int, boun
     found, z = labelled.sparkSession.createDataFrame([], "tokens array<string>"), 1.96
     current = baskets
     for size in range(1, MAX_TOKENS + 1):
-        items = scratch.save(current.select("class", F.explode(subsets("tokens", size)).alias("set")).select(F.array("set", "class").alias("items")), f"{name}-items{size}")
+        sets = current.select("class", F.explode(subsets("tokens", size)).alias("set"))
+        # Neither a rule nor part of one: sets in fewer blocked baskets than a rule needs. FP-growth keeps items on the driver.
+        enough = sets.filter("class = 'class:block'").groupBy("set").count().filter(F.col("count") >= min_count).select("set")
+        items = scratch.save(sets.join(enough, "set", "left_semi").select(F.array("set", "class").alias("items")), f"{name}-items{size}")
         n = items.count()
         if not n or min_count - 0.5 > n:
             break
