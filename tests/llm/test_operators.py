@@ -479,6 +479,27 @@ def test_near_duplicates(spark, docs, none):
     assert near_dedup.near_duplicates(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("tile", [8, 2048])
+def test_near_duplicates_in_a_bucket_of_many_unlike_texts(spark, monkeypatch, tile):
+    """A passage of all texts fills buckets; like texts that meet there only are found, whatever the bucket's least text is."""
+    monkeypatch.setattr(near_dedup, "TILE", tile, raising=False)
+    rng = random.Random(8)
+    common, texts = [f"c{k}" for k in range(40)], []
+    for f in range(30):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        texts += [common + own, common + [x if k % 3 else f"v{f}x{k}" for k, x in enumerate(own)]]
+    w = words(pa.array([" ".join(t) for t in texts]), ALNUM_LOWER)
+    keys = near_dedup.order_sketches(*near_dedup.labelled_runs(w))
+    of = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = (w.hash[w.first[k] : w.first[k + 1]] for k in (i, j))
+        if (keys[i] == keys[j]).any() and align.edit_distance(a, b, int(0.2 * max(len(a), len(b)) + 1e-9)) is not None:
+            of = [of[i] if c == of[j] else c for c in of]
+    assert len(set(of)) < 40  # most pairs of like texts share a bucket
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(of))
+
+
 def test_banded_distance_equals_the_table(monkeypatch):
     def table(a, b):
         row = list(range(len(b) + 1))

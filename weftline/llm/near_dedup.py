@@ -8,10 +8,12 @@ banded alignment of their words finds an edit similarity, 1 - edits / words of t
 ``threshold`` or more. Classes are the connected components of links.
 
 Equal word sequences are one node from the start, by a 128-bit fingerprint, so thousands of exact
-copies cost one row; all that follows works on distinct texts. In each bucket every text is compared
-with the bucket's least text, never all pairs. Texts that this leaves unlinked are compared with the
-bucket's greatest text, which may be like them where the least is not, and go to a second round of finer buckets, keyed by the old bucket and one more sketch each, where a bucket that common
-passages had filled with unlike texts falls apart into those that agree in more than one place.
+copies cost one row; all that follows works on distinct texts. In each bucket every text is first compared
+with the bucket's least text. Then all pairs of a bucket that the links so far have not put in one class
+are looked at, however large the bucket is, each in one of the buckets it shares: a pair whose lengths or
+whose counts of words by hash differ by more than the edits allowed cannot be a link, and every other pair
+is aligned where it meets. So each pair that shares a bucket is a link, or in one class by other links, or
+known to be unlike.
 
 Null text counts as empty; texts without words are copies of each other. Rows that repeat a doc_id
 are rows of their own. Texts shorter than five words are one run. Columns beyond the two named are
@@ -33,9 +35,15 @@ from weftline.llm.graph import components
 from weftline.llm.scratch import Scratch
 
 RUN, SKETCHES, THRESHOLD = 5, 24, 0.8
-#: How many further sketches key the finer buckets of the second round.
-FINER = 6
 FILTER_BITS = 26
+#: Words of a text are counted by hash in so many bins, a byte each.
+BINS = 128
+#: Buckets of more texts are split into tiles of two such parts, so that no task has all pairs of one.
+TILE = 2048
+#: As many words at most has a part, but for one text.
+TILE_WORDS = 1 << 21
+#: Pairs of a tile that are looked at together.
+PAIRS = 1 << 18
 
 
 def words_or_rest(column) -> Words:
@@ -127,8 +135,15 @@ def _least(v: np.ndarray, begin: np.ndarray, owner: np.ndarray, most: np.uint64)
     return at
 
 
+def word_bins(w: Words) -> np.ndarray:
+    """(rows, BINS): words of each text by hash. A bin stays at 255, which can only bring two texts closer."""
+    n = len(w.first) - 1
+    at = w.row * BINS + (w.hash >> np.uint64(57)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
 def sketch_rows(docs: DataFrame, sketches: int = SKETCHES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, n_words, sketch of each row."""
+    """doc_id, fp, n_words, sketch, bins of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -136,9 +151,9 @@ def sketch_rows(docs: DataFrame, sketches: int = SKETCHES, key: str = "doc_id",
             table = order_sketches(*labelled_runs(w), sketches).view(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, sketches, dtype=np.int32)), pa.array(table.reshape(-1)))
             fp = fingerprints(w)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(np.diff(w.first)), flat], names=["doc_id", "fp", "n_words", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(np.diff(w.first)), flat, pa.array([x.tobytes() for x in word_bins(w)], pa.binary())], names=["doc_id", "fp", "n_words", "sketch", "bins"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp binary, n_words long, sketch array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp binary, n_words long, sketch array<long>, bins binary")
 
 
 def fingerprint_bits(wanted: DataFrame) -> np.ndarray:
@@ -194,14 +209,14 @@ def verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _led(entries: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Of (bucket, fp, n_words): each entry with its bucket's least other text, and the greatest.
+    """Of (bucket, fp, n_words): each entry with its bucket's least other text.
 
     The leaders are a table of their own: both sides of the join are then plain shuffles, so that Spark
     can split a bucket that very many texts share.
     """
-    leader = entries.groupBy("bucket").agg(F.min(F.struct("fp", "n_words")).alias("lead"), F.max(F.struct("fp", "n_words")).alias("last"), F.count("*").alias("n")).filter("n > 1").select("bucket", "lead", "last")
+    leader = entries.groupBy("bucket").agg(F.min(F.struct("fp", "n_words")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("bucket", "lead")
     leader = scratch.save(leader, name)
-    return entries.join(leader, "bucket").select("bucket", "fp", "n_words", F.col("lead.fp").alias("lead"), F.col("lead.n_words").alias("lead_words"), "last").filter("fp <> lead")
+    return entries.join(leader, "bucket").select("bucket", "fp", "n_words", F.col("lead.fp").alias("lead"), F.col("lead.n_words").alias("lead_words")).filter("fp <> lead")
 
 
 def _tied(links: DataFrame) -> DataFrame:
@@ -220,48 +235,128 @@ def _apart(pairs: DataFrame, tied: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("tie_a", "a") != F.coalesce("tie_b", "b")).select(pairs.columns)
 
 
-def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, finer: int = FINER) -> DataFrame:
-    """Verified links (a, b, similarity) between distinct texts; ``nodes`` has fp, n_words, sketch."""
+def _met(threshold: float):
+    """A function of tiles, sorted: links (a, b, similarity) that put all texts of a tile that are like in one class."""
+
+    def emit(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n = rows.num_rows
+        ids = np.stack([rows.column(c).to_numpy() for c in ("bucket", "p", "q")], axis=1)
+        begins = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
+        end = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
+        side, size = (rows.column(c).to_numpy() for c in ("side", "n_words"))
+        _, of = np.unique(np.array(rows.column("class").to_pylist(), object), return_inverse=True)
+        bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(n, BINS)
+        shared = rows.column("buckets").flatten().to_numpy().reshape(n, -1)
+        fp, seq = (rows.column(c).to_pylist() for c in ("fp", "seq"))
+        within = ids[:, 1] == ids[:, 2]
+        above = list(range(n))  # classes that links of these rows join
+
+        def root(c: int) -> int:
+            while above[c] != c:
+                above[c] = c = above[above[c]]
+            return c
+
+        partners = end - np.arange(n) - 1  # each row meets those after it
+        done = np.concatenate([[0], np.cumsum(partners)])
+        low, out = 0, []
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(done, done[low] + PAIRS, "right")) - 1)
+            x = np.repeat(np.arange(low, high), partners[low:high])
+            y = x + 1 + np.arange(len(x)) - np.repeat(done[low:high] - done[low], partners[low:high])
+            low = high
+            most = ((1 - threshold) * np.maximum(size[x], size[y]) + 1e-9).astype(np.int64)
+            some = np.flatnonzero((of[x] != of[y]) & (within[x] | (side[x] != side[y])) & (np.abs(size[x] - size[y]) <= most))
+            x, y, most = x[some], y[some], most[some]
+            for k in range(0, len(x), 1 << 14):
+                i, j, m = (z[k : k + (1 << 14)] for z in (x, y, most))
+                apart = bins[i].astype(np.int16) - bins[j]  # an edit moves at most one word out of a bin and one into another
+                like = np.flatnonzero((np.abs(apart).sum(axis=1) + np.abs(apart.sum(axis=1))) // 2 <= m)
+                i, j, m = i[like], j[like], m[like]
+                least = np.where(shared[i] == shared[j], shared[i], np.iinfo(np.int64).max).min(axis=1)
+                here = np.flatnonzero(least == ids[i, 0])
+                for u, v, e in zip(i[here].tolist(), j[here].tolist(), m[here].tolist(), strict=True):
+                    a, b = root(of[u]), root(of[v])
+                    if a == b:
+                        continue
+                    edits = edit_distance(np.frombuffer(seq[u], "<u4"), np.frombuffer(seq[v], "<u4"), e)
+                    if edits is not None:
+                        above[a] = b
+                        out.append((min(fp[u], fp[v]), max(fp[u], fp[v]), 1 - edits / max(size[u], size[v])))
+        a, b, how = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(how, pa.float64())], names=["a", "b", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy() for c in ("bucket", "p", "q")], axis=1)
+            differ = np.flatnonzero((ids != ids[-1]).any(axis=1))
+            if held and (len(differ) or [held[0].column(c)[0].as_py() for c in ("bucket", "p", "q")] != ids[-1].tolist()):
+                cut = int(differ[-1]) + 1 if len(differ) else 0
+                yield emit(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held, batch = [], batch.slice(cut)
+            elif len(differ):
+                cut = int(differ[-1]) + 1
+                yield emit(batch.slice(0, cut))
+                batch = batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield emit(pa.concat_batches(held))
+
+    return run
+
+
+def _rest(led: DataFrame, nodes: DataFrame, seqs: DataFrame, found: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """Links between texts of a bucket that those found do not put in one class."""
+    classes = components(found.select("a", "b"), scratch.below("classes")).select(F.col("node").alias("fp"), F.col("root").alias("class"))
+    entries = led.select("bucket", "fp", "n_words").union(led.select("bucket", F.col("lead").alias("fp"), F.col("lead_words").alias("n_words")).distinct())
+    entries = scratch.save(entries.join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp")), "entries")
+    parts = F.ceil(F.greatest(F.col("n") / TILE, F.col("words") / TILE_WORDS)).cast("int")
+    mixed = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket", parts.alias("parts"))
+    mixed = scratch.save(mixed, "mixed")  # as the leaders: a plain shuffle to the join
+    buckets = F.transform("sketch", lambda key, band: F.xxhash64(band, key))
+    texts = nodes.select("fp", "bins", buckets.alias("buckets")).join(seqs, "fp")
+    rows = entries.join(mixed, "bucket").withColumn("side", F.pmod(F.xxhash64("fp"), "parts").cast("int")).join(texts, "fp")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "fp", "class", "n_words", "bins", "buckets", "seq")
+    return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(_met(threshold), "a binary, b binary, similarity double")
+
+
+def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified links (a, b, similarity) between distinct texts; ``nodes`` has fp, n_words, sketch, bins.
+
+    Two texts that share a bucket and are like are connected by links, in as many steps as it takes.
+    """
     some = nodes.filter("n_words > 0")
-    keys = some.select("fp", "n_words", "sketch", F.posexplode("sketch").alias("band", "key"))
+    keys = some.select("fp", "n_words", F.posexplode("sketch").alias("band", "key"))
     entries = keys.select(F.xxhash64("band", "key").alias("bucket"), "fp", "n_words")
     led = scratch.save(_led(entries, scratch, "leaders1"), "led1")
-    close = F.least("n_words", "lead_words") >= threshold * F.greatest("n_words", "lead_words")
+    close = F.least("n_words", "lead_words") >= threshold * F.greatest("n_words", "lead_words") - 1e-9
     pairs = led.filter(close).groupBy(F.col("lead").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("shared"))
     first = scratch.save(pairs, "pairs1")
     # Each text first meets the leader it shares most buckets with; then only leaders that this has not tied it to.
     best = first.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    # The least text of a bucket is unlike most others where a common passage fills it: finer buckets for those.
     wanted = scratch.save(led.select("fp").union(led.select(F.col("lead").alias("fp"))).distinct(), "wanted")
     seqs = scratch.save(sequences(docs, wanted), "seqs")
     links1 = scratch.save(verified(scratch.save(best, "best"), seqs, threshold), "links1")
     tie = scratch.save(_tied(links1), "tied")
     rest = _apart(first.join(best, ["a", "b"], "left_anti").select("a", "b"), tie)
     found = links1.union(scratch.save(verified(scratch.save(rest, "rest"), seqs, threshold), "links1b"))
-    open_ = _apart(led.select(F.col("lead").alias("a"), F.col("fp").alias("b"), "bucket", "n_words", "last"), tie).withColumnsRenamed({"a": "lead", "b": "fp"})
-    open_ = scratch.save(open_.join(found.select(F.col("a").alias("lead"), F.col("b").alias("fp")), ["lead", "fp"], "left_anti"), "open")
-    # A text unlike its bucket's least one may be like another that is: the greatest one gets its turn.
-    others_like = F.least("n_words", "last.n_words") >= threshold * F.greatest("n_words", "last.n_words")
-    turned = open_.filter(others_like & (F.col("last.fp") != F.col("fp"))).select(F.col("last.fp").alias("a"), F.col("fp").alias("b")).distinct()
-    left = open_.select("bucket", "fp")
-    others = F.transform(F.sequence(F.lit(1), F.lit(finer)), lambda j: F.element_at("sketch", ((F.pmod("bucket", F.size("sketch")) + j * 3) % F.size("sketch") + 1).cast("int")))
-    fine = left.join(some.select("fp", "n_words", "sketch"), "fp").select("bucket", "fp", "n_words", F.posexplode(others).alias("j", "key"))
-    led2 = _led(scratch.save(fine.select(F.xxhash64("bucket", "j", "key").alias("bucket"), "fp", "n_words"), "fine"), scratch, "leaders2")
-    again = _apart(led2.filter(close).select(F.col("lead").alias("a"), F.col("fp").alias("b")).union(turned).distinct().join(first, ["a", "b"], "left_anti"), tie)
-    second = scratch.save(verified(scratch.save(again, "pairs2"), seqs, threshold), "links2")
-    return found.union(second)
+    # A text unlike its bucket's least one may be like any other.
+    return found.union(scratch.save(_rest(led, some, seqs, found, scratch, threshold), "links2"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, threshold: float = THRESHOLD, sketches: int = SKETCHES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each row: doc_id, fp, class_id (the least doc_id of its class), copies (rows of equal words),
-    leader_links (verified links with leaders of buckets, not with all texts alike), keep.
+    leader_links (verified links, which pairs in one class by others are without), keep.
 
     ``keep`` is true for one row of each class, one that has the least doc_id (any one of rows that agree in all).
     """
     scratch = Scratch(spark, "near-dedup")
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = scratch.save(sketch_rows(named, sketches), "rows", zstd=True)
-    nodes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "nodes", zstd=True)
+    nodes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins")), "nodes", zstd=True)
     found = scratch.save(links(named, nodes, scratch, threshold), "links")
     ends = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("leader_links"))
     node = F.struct("rep", "fp")  # in the order of doc_id, so that a component's least node names its class
