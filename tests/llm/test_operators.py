@@ -16,10 +16,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import duck, rows
 from weftline.llm import align, class_lm, decontaminate, html_text, license_scan, near_dedup, packing, passages, quality, queries, token_files, tokens, url_rules
-from weftline.llm.columns import ALNUM_LOWER, words
+from weftline.llm.columns import ALNUM_LOWER, SPACE_LOWER, words
 
 random.seed(5)
 VOCABULARY = ["".join(random.choice("abcdefghijklmno") for _ in range(random.randint(2, 8))) for _ in range(900)] + ["Étude", "naïve", "x-y", "3rd"]
@@ -451,6 +452,18 @@ def test_class_bigrams_are_the_same_however_texts_are_dealt(spark, docs):
     assert [r[:3] for r in one] == [r[:3] for r in many] and np.allclose([r[3] for r in one], [r[3] for r in many], atol=1e-6)
 
 
+def test_most_frequent_words_beyond_the_first_of_each_block(spark, monkeypatch):
+    """Words that are nowhere among a block's first, but frequent over all blocks."""
+    monkeypatch.setattr(class_lm, "BLOCK_TOP", 4)
+    texts = [" ".join(f"own{d}x{k} " * (9 - k) for k in range(6)) + " all some " * 3 + f"few{d % 2} " * 2 for d in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False)).repartition(12)
+    count = collections.Counter(w for t in texts for w in t.split())
+    for most in (2, 3, 5, 1000):
+        w = words(pa.array([" ".join(count)]), SPACE_LOWER)
+        want = sorted(zip((-count[x] for x in count), w.hash.view(np.int64).tolist(), strict=True))[:most]
+        assert class_lm.frequent_words(class_lm.blocks(docs).cache(), most) == [h for _, h in want]
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(1)
     kinds = rng.integers(0, 3, 30)

@@ -4,8 +4,7 @@ Tokens are words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, then one end a text. T
 texts whose crc32(doc_id as text) mod 7 is not 2; null text is an empty one, its end is a token all the same.
 
 Classes come in two steps. First the exchange algorithm proper, on a matrix of fixed size: its units are
-``CORE`` frequent words (by their counts where they are among the ``BLOCK_TOP`` most frequent of a block),
-each by itself, all others in ``BUCKETS`` provisional groups by their last three bytes, and the end with a
+``CORE`` most frequent words of all training texts, each by itself, all others in ``BUCKETS`` provisional groups by their last three bytes, and the end with a
 class of its own. One unit after another moves to the class that raises the likelihood of class bigrams
 most, until none moves. Then every other word of the vocabulary, however many there are, is exchanged by
 itself: the counts of the classes before and after it, over all training texts, go to where the word's
@@ -35,10 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import SPACE_LOWER, give_back, mix, pieces, text_buffer, words
+from weftline.llm.columns import SPACE_LOWER, bit_table, give_back, in_bits, mix, pieces, text_buffer, words
 from weftline.llm.scratch import Scratch
 
 CORE, BUCKETS, CLASSES, KAPPA = 768, 255, 64, 50.0
+#: Words of a block that give a first bound on how frequent the core is; no word goes for being beyond them.
 BLOCK_TOP = 4096
 UNITS = CORE + BUCKETS + 1
 BLOCK_BYTES = 8 << 20
@@ -89,18 +89,31 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def frequent_words(table: DataFrame) -> DataFrame:
-    """(hash, n): of each block's most frequent training words."""
+def _counted(table: DataFrame, chosen) -> DataFrame:
+    """(hash, n) of those training words of each block that ``chosen``, a function of hashes and counts, picks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 h, n = np.frombuffer(row["hashes"], np.int64), _unpack(row["counts"], "<i4")
-                at = np.lexsort((h, -n))[:BLOCK_TOP]
-                at = at[n[at] > 0]
+                h, n = h[n > 0], n[n > 0]
+                at = chosen(h, n)
                 yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(n[at].astype(np.int64))], names=["hash", "n"])
 
-    return table.select("hashes", "counts").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return table.select("hashes", "counts").mapInArrow(run, "hash long, n long")
+
+
+def frequent_words(table: DataFrame, most: int = CORE) -> list[int]:
+    """The ``most`` most frequent training words, by hash where counts are equal: exactly, however texts are dealt.
+
+    Sums over each block's ``BLOCK_TOP`` words give a bound that ``most`` words reach. A word that reaches it
+    has an even share of it in some block; all words with such a share are counted in every block.
+    """
+    total = lambda found: found.groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(most).collect()
+    top = total(_counted(table, lambda h, n: np.lexsort((h, -n))[:BLOCK_TOP]))
+    share = -(-top[-1]["n"] // table.count()) if len(top) == most else 1
+    bits = table.sparkSession.sparkContext.broadcast(bit_table(_counted(table, lambda h, n: n >= share), "hash"))
+    return [row["hash"] for row in total(_counted(table, lambda h, n: in_bits(bits.value, h.view(np.uint64))))]
 
 
 class Core:
@@ -413,7 +426,7 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "class-lm")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
     table = scratch.save(blocks(named), "blocks")
-    core = Core([r["hash"] for r in frequent_words(table).orderBy(F.desc("n"), "hash").limit(CORE).collect()])
+    core = Core(frequent_words(table))
     cells = unit_pairs(table, spark.sparkContext.broadcast(core)).toArrow()  # at most UNITS ** 2 rows
     pairs = np.zeros(UNITS * UNITS)
     pairs[cells.column("pair").to_numpy()] = cells.column("n").to_numpy()
