@@ -257,6 +257,45 @@ def test_chains():
     assert found[0] == [0, 1, 2, 3] and sorted(sum(found, [])) == list(range(6))
 
 
+def test_chains_turned_away_cannot_be_long_enough():
+    """Few chains are extended one by one, and those that are not would have stayed below the least length."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(400):
+        a, b = (rng.integers(0, 40 if k % 2 else 10**6, rng.integers(5, 200)).astype("<u4") for _ in range(2))
+        x, y = (int(rng.integers(0, len(s) - 4)) for s in (a, b))
+        n = int(min(len(a) - x, len(b) - y, (5, 30, 60)[k % 3]))
+        b[y : y + n] = a[x : x + n]
+        if k % 5 == 0:
+            b[y + 5 : y + n : 9] = 7
+        low, src_low = max(0, x - passages.PAD), max(0, y - passages.PAD)
+        rows.append((x, x + 5, y, y + 5, low, src_low, a[low : x + 5 + passages.PAD].tobytes(), b[src_low : y + 5 + passages.PAD].tobytes()))
+    batch = pa.RecordBatch.from_pylist([dict(zip(("x0", "x1", "y0", "y1", "low", "src_low", "seq", "src_seq"), r, strict=True)) for r in rows])
+    long_ = []
+    for x0, x1, y0, y1, low, src_low, seq, src in rows:
+        u, v, *_ = passages.extended(np.frombuffer(seq, "<u4"), np.frombuffer(src, "<u4"), x0 - low, x1 - low, y0 - src_low, y1 - src_low)
+        long_.append(v - u >= passages.MIN_WORDS)
+    may = passages._may_reach(batch)
+    assert sum(long_) > 10 and not (np.array(long_) & ~may).any() and may.sum() < 200
+
+
+def test_chains_of_many_groups_are_those_of_each():
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(d), 1, int(s), 1, int(x), int(x + 3 * s if d % 2 else y)) for d, s, x, y in zip(*(rng.integers(0, n, 900) for n in (9, 4, 300, 300)), strict=True)})
+    names = ("doc", "ver", "src", "src_ver", "pos", "src_pos")
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    got = [r for b in passages._chained(iter([batch.slice(0, 100), batch.slice(100)])) for r in b.to_pylist()]
+    want, leads = [], 0
+    for of, group in itertools.groupby(rows, lambda r: r[:4]):
+        x, y = np.array(list(group))[:, 4:].T
+        spans = [(x[c].tolist(), y[c].tolist()) for c in passages.chains(x, y)]
+        want += [(*of, u[0], u[-1] + 5, v[0], v[-1] + 5, np.array([u, v], "<i4").tobytes()) for u, v in spans]
+        reach = -1
+        for low, high in sorted(((u[0], u[-1] + 5) for u, _ in spans), key=lambda w: (w[0], -w[1])):
+            if high > reach:
+                reach, leads = high + passages.PAD, leads + 1
+    assert sorted(tuple(r.values())[:-1] for r in got) == sorted(want) and sum(r["leads"] for r in got) == leads
+
+
 def test_passages(spark, docs, none):
     got = passages.repeats(spark, docs).collect()
     spans = {(r["doc_id"], r["source_doc_id"]): r for r in got}
