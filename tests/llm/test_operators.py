@@ -296,6 +296,29 @@ def test_chains_of_many_groups_are_those_of_each():
     assert sorted(tuple(r.values())[:-1] for r in got) == sorted(want) and sum(r["leads"] for r in got) == leads
 
 
+def test_near_distances_are_those_of_each_pair():
+    rng, pairs = np.random.default_rng(5), [(np.zeros(0, np.uint32), np.arange(3, dtype=np.uint32)), (np.arange(align.NEAR_LENGTH + 9, dtype=np.uint32) + 1, np.arange(align.NEAR_LENGTH + 9, dtype=np.uint32)[::-1])]
+    for k in range(300):
+        a = rng.integers(0, (3, 50, 1 << 32)[k % 3], rng.integers(0, 200)).tolist()
+        b = [*a]
+        for _ in range(rng.integers(0, 45)):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = rng.integers(0, 50, rng.integers(0, 2)).tolist()
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32)))
+    want = [align.edit_distance(a, b, align.NEAR) for a, b in pairs]
+    assert [None if d > align.NEAR else d for d in align.near_distances(pairs) if d >= 0] == [w for k, w in enumerate(want) if k != 1]
+    assert align.near_distances(pairs)[1] == -1 and 100 < sum(w is not None for w in want) < 302
+
+
+def test_documents_are_numbered_in_order(spark, tmp_path):
+    """Numbers rise with (doc_id, ver) across partitions; sorts and aggregates are of one number."""
+    rows = [(d % 700 - 350, d % 3, str(d % 2100)) for d in range(4200)]
+    texts = passages.numbered(spark.createDataFrame(rows, "doc_id long, ver int, text string").repartition(5), passages.Scratch(spark, "numbered"))
+    got = [tuple(r) for r in texts.select("n", "doc_id", "ver").collect()]
+    assert sorted(got) == [(n, *key) for n, key in enumerate(sorted({r[:2] for r in rows}))]
+    assert passages.seeds(texts.select("n", "text")).count() == 0  # no text has a run of words
+
+
 def test_passages(spark, docs, none):
     got = passages.repeats(spark, docs).collect()
     spans = {(r["doc_id"], r["source_doc_id"]): r for r in got}
