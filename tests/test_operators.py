@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weftline import catalog, shared
 from weftline.functions import augment, bits, image, rng
 from weftline.operators import batch, gather, order, relational, shard, transforms, windows
 from weftline.plans.epoch import EpochPlan
@@ -177,3 +179,22 @@ def test_chain_is_one_pass(spark, sf_dir):
     both = (transforms.chain(("Resize", 4, 4)) | transforms.chain(("Invert",))).apply(rows)
     assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # the images, and the chain
     assert {(r["h"], r["w"]) for r in both.collect()} == {(4, 4)}
+
+
+@pytest.mark.parametrize("name, least", [("folder_archive", 3)])
+def test_shards_grow_with_the_sources(spark, sf_dir, monkeypatch, name, least):
+    """As many archives as the files of the sources ask for, and the same rows; a small source keeps the least number."""
+    catalog.load()
+    written, write = [], archive.write_archives
+    monkeypatch.setattr(archive, "write_archives", lambda df, folder: written.append(df.rdd.getNumPartitions()) or write(df, folder))
+    want = sorted(catalog.QUERIES[name](spark, sf_dir).collect())
+    monkeypatch.setattr(shared, "SHARD_BYTES", 20000)
+    assert sorted(catalog.QUERIES[name](spark, sf_dir).collect()) == want
+    size = shared.source_bytes(catalog.table(spark, sf_dir, "documents").select("doc_id"))
+    assert size >= os.path.getsize(f"{sf_dir}/documents.parquet") and written[0] == least and written[1] >= size // 20000 > least
+
+
+def test_shards_are_ranges_of_the_key(spark, monkeypatch):
+    monkeypatch.setattr(shared, "SHARD_BYTES", 20000)
+    parts = shared.sharded(spark.range(0, 20000, 1, 4), "id", 3).rdd.glom().map(lambda p: [r["id"] for r in p]).collect()
+    assert len(parts) == 8 and [n for p in parts for n in p] == list(range(20000)) and max(map(len, parts)) < 20000 / 3

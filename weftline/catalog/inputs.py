@@ -13,7 +13,7 @@ from weftline.catalog.loading import _TOKENS, _tokens
 from weftline.catalog.samples import ids, shuffled_sql, udraw
 from weftline.functions import rng
 from weftline.operators import batch, mapped, order, transforms
-from weftline.shared import folder
+from weftline.shared import folder, sharded
 from weftline.sources import archive, codecs, csv_files, flat_tokens, image_files, records, remote
 
 
@@ -34,7 +34,7 @@ _CSV = "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS tur
 
 def _csv(spark, sf_dir, header: bool):
     to = folder(spark, "csv")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").repartitionByRange(3, "conv_id").sortWithinPartitions("conv_id", "turn", "text")
+    rows = sharded(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", 3).sortWithinPartitions("conv_id", "turn", "text")
     rows.write.option("header", header).option("escape", '"').csv(to)
     return to
 
@@ -55,7 +55,7 @@ def csv_rows(spark, sf_dir):
 def token_files_scan(spark, sf_dir):
     """Token ids written as flat files of 16 bits and read by ranges, with their places."""
     to = folder(spark, "tokens")
-    flat_tokens.write_tokens(_tokens(spark, sf_dir).repartitionByRange(4, "pos").sortWithinPartitions("pos"), to).collect()
+    flat_tokens.write_tokens(sharded(_tokens(spark, sf_dir), "pos", 4), to).collect()
     return flat_tokens.register(spark).read.format("tokens").option("path", to).option("dtype", "uint16").option("block", "700").load()
 
 
@@ -126,7 +126,7 @@ def raw_serve(spark, sf_dir):
     """Raw records as an epoch serves them: order, mirror, stack; from the third batch on."""
     to = folder(spark, "records")
     rows = _images(spark, sf_dir).select(F.col("data").alias("content"), F.lit("raw_u8").alias("format"), F.col("w").alias("width"), F.col("h").alias("height"), F.to_json(F.struct("img")).alias("metadata"), "img")
-    records.write_records(rows.repartitionByRange(4, "img").sortWithinPartitions("img"), to).collect()
+    records.write_records(sharded(rows, "img", 4), to).collect()
     back = records.register(spark).read.format("records").option("path", to).option("payload", "true").option("metadata", "true").load()
     h, w = records.raw_view(back.drop("content"))
     images = order.with_sample_id(back.select(F.get_json_object(F.col("metadata").cast("string"), "$.img").cast("long").alias("img"), F.lit(h).alias("h"), F.lit(w).alias("w"), F.col("content").alias("data")), "img")
@@ -140,7 +140,7 @@ def archive_to_records(spark, sf_dir):
     tar, out = folder(spark, "archive"), folder(spark, "records")
     png = _png(spark, sf_dir).select("name", "content")
     notes = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(".txt")).alias("name"), F.col("r_name").cast("binary").alias("content"))
-    archive.write_archives(png.unionByName(notes).repartitionByRange(3, "name").sortWithinPartitions("name"), tar).collect()
+    archive.write_archives(sharded(png.unionByName(notes), "name", 3), tar).collect()
     archive.to_records(archive.register(spark).read.format("archive").option("path", tar).load(), out).collect()
     back = records.register(spark).read.format("records").option("path", out).option("metadata", "true").load()
     return back.select(F.get_json_object(F.col("metadata").cast("string"), "$.name").alias("name"), "width", "height", "format")

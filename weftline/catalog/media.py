@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weftline.catalog import query, table
 from weftline.catalog.images import PIXELS, N
 from weftline.operators import mapped, multi, order, transforms
-from weftline.shared import folder
+from weftline.shared import folder, sharded
 from weftline.sources import archive, codecs, records
 from weftline.streaming import buckets
 
@@ -43,7 +43,7 @@ def archive_index(spark, sf_dir):
     """The JSON members' ordinals alone: the extension is pushed into the header scan, payloads stay unread."""
     labels = table(spark, sf_dir, "labels").select(F.concat("doc_id", F.lit(".json")).alias("name"), F.lit("{}").alias("content"))
     to = folder(spark, "archive")
-    archive.write_archives(labels.repartitionByRange(2, "name").sortWithinPartitions("name"), to).collect()
+    archive.write_archives(sharded(labels, "name", 2), to).collect()
     back = archive.register(spark).read.format("archive").option("path", to).option("content", "false").load()
     return back.filter("ext = 'json'").select("name", "ordinal", "size")
 
@@ -54,7 +54,7 @@ def folder_archive(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/data/root/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
     classed = archive.folder_classes(docs, root="root")
     to = folder(spark, "folder")
-    archive.write_archives(classed.repartitionByRange(3, "name").sortWithinPartitions("name"), to).collect()
+    archive.write_archives(sharded(classed, "name", 3), to).collect()
     back = archive.register(spark).read.format("archive").option("path", to).load()
     return back.join(classed.select("name", "class", "label"), "name").select("name", "class", "label", "size")
 
@@ -64,7 +64,7 @@ def records_roundtrip(spark, sf_dir):
     """Raw images with JSON notes in indexed record files, LZ4 where smaller, read back and checked."""
     rows = _images(spark, sf_dir).select(F.col("data").alias("content"), F.lit("raw_u8").alias("format"), F.col("w").alias("width"), F.col("h").alias("height"), F.concat(F.lit('{"id": '), "img", F.lit("}")).alias("metadata"), "img")
     to = folder(spark, "records")
-    records.write_records(rows.repartitionByRange(4, "img").sortWithinPartitions("img"), to, compress=True).collect()
+    records.write_records(sharded(rows, "img", 4), to, compress=True).collect()
     back = records.register(spark).read.format("records").option("path", to).option("payload", "true").option("verify", "true").option("metadata", "true").load()
     return back.select(F.get_json_object(F.col("metadata").cast("string"), "$.id").cast("long").alias("img"), "width", "height", "format", F.md5("content").alias("md5"))
 
@@ -74,13 +74,13 @@ def preprocess(spark, sf_dir):
     """BMP archive, decoded and resized once, as raw records that a fixed-width view takes."""
     bmp = _encoded(spark, sf_dir, "bmp").select(F.concat(F.format_string("%06d", "img"), F.lit(".bmp")).alias("name"), "content")
     tar, out = folder(spark, "archive"), folder(spark, "records")
-    archive.write_archives(bmp.repartitionByRange(3, "name").sortWithinPartitions("name"), tar).collect()
+    archive.write_archives(sharded(bmp, "name", 3), tar).collect()
 
     members = archive.register(spark).read.format("archive").option("path", tar).load()
     images = mapped.arrow_images(members.select(F.regexp_extract("name", r"(\d+)", 1).alias("img"), "content"), codecs.decode)
     small = transforms.chain(("Resize", 4, 4)).apply(images)
     rows = small.select(F.col("data").alias("content"), F.lit("raw_u8").alias("format"), F.col("w").alias("width"), F.col("h").alias("height"), "img")
-    records.write_records(rows.repartitionByRange(2, "img").sortWithinPartitions("img"), out).collect()
+    records.write_records(sharded(rows, "img", 2, of=bmp), out).collect()
     index = records.register(spark).read.format("records").option("path", out).load()
     h, w = records.raw_view(index)
     back = spark.read.format("records").option("path", out).option("payload", "true").load()
