@@ -181,7 +181,7 @@ def test_chain_is_one_pass(spark, sf_dir):
     assert {(r["h"], r["w"]) for r in both.collect()} == {(4, 4)}
 
 
-@pytest.mark.parametrize("name, least", [("folder_archive", 3)])
+@pytest.mark.parametrize("name, least", [("folder_archive", 3), ("archive_roundtrip", 4)])
 def test_shards_grow_with_the_sources(spark, sf_dir, monkeypatch, name, least):
     """As many archives as the files of the sources ask for, and the same rows; a small source keeps the least number."""
     catalog.load()

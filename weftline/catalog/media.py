@@ -33,7 +33,7 @@ def archive_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.col("text").alias("content"))
     labels = table(spark, sf_dir, "labels").select(F.concat("doc_id", F.lit(".json")).alias("name"), F.concat(F.lit('{"label": '), "quality", F.lit("}")).alias("content"))
     to = folder(spark, "archive")
-    archive.write_archives(docs.unionByName(labels).repartitionByRange(4, "name").sortWithinPartitions("name"), to).collect()
+    archive.write_archives(sharded(docs.unionByName(labels), "name", 4), to).collect()
     back = archive.register(spark).read.format("archive").option("path", to).load()
     return back.select("name", "ext", "size", F.md5("content").alias("md5"))
 
