@@ -15,7 +15,7 @@ from weftline import catalog, shared
 from weftline.functions import augment, bits, image, rng
 from weftline.operators import batch, gather, order, relational, shard, transforms, windows
 from weftline.plans.epoch import EpochPlan
-from weftline.sources import archive, codecs, formats, records, store
+from weftline.sources import archive, codecs, formats, image_files, records, store
 
 few = settings(max_examples=6, deadline=None)
 
@@ -198,3 +198,21 @@ def test_shards_are_ranges_of_the_key(spark, monkeypatch):
     monkeypatch.setattr(shared, "SHARD_BYTES", 20000)
     parts = shared.sharded(spark.range(0, 20000, 1, 4), "id", 3).rdd.glom().map(lambda p: [r["id"] for r in p]).collect()
     assert len(parts) == 8 and [n for p in parts for n in p] == list(range(20000)) and max(map(len, parts)) < 20000 / 3
+
+
+def test_small_image_files_share_tasks(spark, tmp_path):
+    """Spark takes 32 small files a task; all of them are read, in few tasks. Files of some size stay as Spark deals them."""
+    for k in range(400):
+        (tmp_path / f"{k}.png").write_bytes(codecs.encode_png(RANDOM))
+    got = image_files.scan(spark, str(tmp_path))
+    parts = spark.read.format("image").load(str(tmp_path)).rdd.getNumPartitions()
+    assert got.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism < parts
+    assert got.select("h", "w", "data").distinct().count() == 1 and got.select("path").distinct().count() == 400
+
+
+def test_large_image_files_stay_apart(spark, tmp_path, monkeypatch):
+    for k in range(400):
+        (tmp_path / f"{k}.png").write_bytes(codecs.encode_png(RANDOM))
+    files = spark.read.format("image").load(str(tmp_path))
+    monkeypatch.setattr(image_files, "TASK_BYTES", sum(f.stat().st_size for f in tmp_path.iterdir()) // 400)
+    assert image_files.packed(files).rdd.getNumPartitions() == files.rdd.getNumPartitions()
